@@ -61,7 +61,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity
                     column.append(value)
         return out
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES)
+    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES, rows=2048)
 
 
 def best_configuration(lengths: np.ndarray, prices: np.ndarray, bounds: np.ndarray, capacity: int) -> np.ndarray:

@@ -92,7 +92,7 @@ def tokenise(docs: DataFrame, length: int, path: str) -> DataFrame:
 
         return step
 
-    return map_stream(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), start, "task int, pos long, doc_id long, piece int, n int, crc long, ids binary")
+    return map_stream(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), start, "task int, pos long, doc_id long, piece int, n int, crc long, ids binary", rows=2048)
 
 
 def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, tokenizer_path: str | None = None) -> DataFrame:

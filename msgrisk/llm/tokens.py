@@ -1,9 +1,11 @@
 """Subword ids of whole texts, with a bounded cache of encoded words.
 
-``word_bpe_49k`` drops white space and never merges across it, so the ids of a
-text are those of its space-separated units in order. The units are encoded
-once per worker and joined as bytes. Texts that may hold a special token are
-encoded whole.
+``word_bpe_49k`` drops white space and never merges across it, nor across a
+lone punctuation mark, so the ids of a text are those of its words and marks in
+order. Each is encoded once per worker and the ids are joined as bytes. Texts
+with neighbouring marks, or with characters outside ASCII and the Latin letters
+of U+00C0-U+00FF, are cut at white space only; texts that may hold a special token
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,11 +15,30 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000  # in each of two generations
 JOINED_WORDS = 4096
 
 
+def _probe_table() -> bytes:
+    """Marks become '!', what needs care 0x01, letters, digits and white space stay."""
+    out = bytearray(range(256))
+    for c in range(256):
+        if c >= 0x80:
+            out[c] = 0x61 if c <= 0xBF or c == 0xC3 else 1
+        elif c < 0x20 and chr(c) not in "\t\n\v\f\r":
+            out[c] = 1
+        elif 0x20 < c and not chr(c).isalnum():
+            out[c] = 0x21
+    return bytes(out)
+
+
+PROBE = _probe_table()
+SIGNS = (b"\xc3\x97", b"\xc3\xb7")  # of U+00C0-U+00FF, those that are no letters
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -39,22 +60,23 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, units: set[str]) -> None:
-        cache = self.cache
-        if len(cache) + len(units) > CACHE_WORDS:
-            cache.clear()
-            new = units
-        else:
-            new = units.difference(cache)
-        # a final full stop or comma after a letter is a token group of its own
-        ends = {w for w in new if len(w) > 1 and w[-1] in ".," and "a" <= w[-2] <= "z"}
-        bare = (new - ends | {w[:-1] for w in ends} | {".", ","}).difference(cache)
-        plain = [w for w in bare if w.isalpha()]
-        rest = [w for w in bare if not w.isalpha()]
+    def _learn(self, new: list[str]) -> None:
+        """Put the ids of ``new`` words in the cache."""
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        plain, rest = [], []
+        for w in new:
+            kept = older.get(w)
+            if kept is not None:
+                cache[w] = kept
+            else:
+                (plain if w.isalpha() else rest).append(w)
         # words of letters only are one word to the tokenizer: encode many at once, cut at word ends
         for at in range(0, len(plain), JOINED_WORDS):
             some = plain[at : at + JOINED_WORDS]
@@ -63,32 +85,61 @@ class WordCodec:
             if len(cuts) != len(some):
                 rest += some
                 continue
-            raw, ends_at = ids.tobytes(), (cuts * 4).tolist()
-            cache.update(zip(some, [raw[i:j] for i, j in zip([0, *ends_at], ends_at)]))
+            raw, ends = ids.tobytes(), (cuts * 4).tolist()
+            cache.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends)]))
         for w, e in zip(rest, self.batch(rest, add_special_tokens=False)):
             cache[w] = array("I", e.ids).tobytes()
-        for w in ends:
-            cache[w] = cache[w[:-1]] + cache[w[-1]]
+
+    @staticmethod
+    def prepared(text: str | None) -> bytes | None:
+        """The text with lone marks set apart by spaces; None if it must be encoded whole."""
+        if not text:
+            return b""
+        if "<|" in text:
+            return None
+        # only A-Z are lowered here: the tokenizer's own lower-casing does the rest
+        raw = text.encode("utf-8", "replace").lower()
+        probe = raw.translate(PROBE)
+        if b"!!" in probe or b"\x01" in probe or any(s in raw for s in SIGNS):
+            return raw
+        return raw.replace(b".", b" . ").replace(b",", b" , ")
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids begin (and the last end)."""
+        ready = [self.prepared(t) for t in texts]
+        lists = pc.ascii_split_whitespace(pa.array([r or b"" for r in ready], pa.binary()).cast(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        vocab, word = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        missing = [w for w in vocab if w not in self.cache]
+        held = self.cache
+        self._learn(missing)
+        if held is self.cache:
+            codes = [held[w] for w in vocab]
+        else:
+            codes = [self.cache.get(w) or held.get(w, b"") for w in vocab]
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        pool = np.frombuffer(b"".join(codes), "<u4")
+        begin = np.cumsum(size) - size
+        n = size[word]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        ids = pool[np.repeat(begin[word] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy()]
+        if None in ready:
+            parts = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+            for i, r in enumerate(ready):
+                if r is None:
+                    parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
+            ids = np.concatenate(parts)
+            bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, bounds
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        units: set[str] = set()
-        for text in texts:
-            if not text:
-                split.append(())
-            elif "<|" in text:
-                split.append(None)
-            else:
-                # only A-Z are lowered here: the tokenizer's own lower-casing does the rest
-                own = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "replace").replace("\n", " ").split(" ")
-                split.append(own)
-                units.update(own)
-        self._learn(units)
-        cache = self.cache
-        out = []
-        for text, own in zip(texts, split):
-            if own is None:
-                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
-            else:
-                out.append(b"".join([cache[w] for w in own]))
-        return out
+        if not texts:
+            return []
+        ids, bounds = self.encode_flat(texts)
+        raw, at = ids.tobytes(), (bounds * 4).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def encode_words(self, ws: list[bytes]) -> list[bytes]:
+        """Ids of single words, each encoded on its own; the cache is not used."""
+        return [array("I", e.ids).tobytes() for e in self.batch([w.decode("utf-8", "replace") for w in ws], add_special_tokens=False)]
