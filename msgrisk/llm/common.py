@@ -36,11 +36,11 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read the files back."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgrisk.llm.common import map_stream, materialise, shared_path
+from msgrisk.llm.common import materialise, shared_path
 from msgrisk.llm.tokens import codec, vocabulary_path
 
 LENGTH = 256
-PER_SHARD = 32_768
+PER_SHARD = 16_384
 KEY = 0x5EED_0F_0DE5
 ROUNDS = 6
 END_ID = 0
 FILL = 0xFFFF  # not an id: the vocabulary has fewer
-LEVEL = 6
+LEVEL = 5
+SLICE = 2048  # documents encoded together
 
 INDEX = "doc_id long, piece int, slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long"
 
@@ -69,30 +70,41 @@ def stride(length: int) -> int:
 
 def tokenise(docs: DataFrame, length: int, path: str) -> DataFrame:
     """Rows (task, pos, doc_id, piece, n, crc, ids); task and pos number the sequences of each output file."""
-    end = END_ID.to_bytes(4, "little")
 
-    def start():
+    def run(batches):
         from pyspark import TaskContext
 
-        task, pos = TaskContext.get().partitionId(), [0]
-
-        def step(cols):
-            if cols is None:
-                return
-            out: tuple[list, ...] = tuple([] for _ in range(7))
-            for doc, raw in zip(cols[0], codec(path).encode(cols[1])):
-                wide = np.frombuffer(raw + end, "<u4")
-                ids = wide.astype("<u2").tobytes()
-                for piece, at in enumerate(range(0, len(wide), length)):
-                    part = ids[2 * at : 2 * (at + length)]
-                    for c, v in zip(out, (task, pos[0], doc, piece, len(part) // 2, zlib.crc32(wide[at : at + length].tobytes()), part)):
-                        c.append(v)
-                    pos[0] += 1
-            yield out
-
-        return step
-
-    return map_stream(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), start, "task int, pos long, doc_id long, piece int, n int, crc long, ids binary", rows=2048)
+        task, pos = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                ids, bounds = codec(path).encode_flat(part.column(1).to_pylist())
+                # the end id after each document
+                wide = np.full(len(ids) + part.num_rows, END_ID, "<u4")
+                own = np.ones(len(wide), bool)
+                own[bounds[1:] + np.arange(part.num_rows)] = False
+                wide[own] = ids
+                size = np.diff(bounds) + 1
+                pieces = -(-size // length)
+                doc = np.repeat(np.arange(part.num_rows), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                begin = (np.cumsum(size) - size)[doc] + piece * length
+                n = np.minimum(length, size[doc] - piece * length)
+                raw, edges = wide.tobytes(), (4 * begin).tolist()
+                crc = [zlib.crc32(raw[a : a + 4 * k]) for a, k in zip(edges, n.tolist())]
+                offsets = np.append(2 * begin, 2 * len(wide)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(doc), task, np.int32)), pa.array(pos + np.arange(len(doc))), part.column(0).take(pa.array(doc)),
+                        pa.array(piece.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(crc, pa.int64()),
+                        pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(wide.astype("<u2"))]),
+                    ],
+                    names=["task", "pos", "doc_id", "piece", "n", "crc", "ids"],
+                )
+                pos += len(doc)
+            pa.default_memory_pool().release_unused()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "task int, pos long, doc_id long, piece int, n int, crc long, ids binary")
 
 
 def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, tokenizer_path: str | None = None) -> DataFrame:
@@ -100,7 +112,7 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
     import zstandard
 
     spark = docs.sparkSession
-    seqs = materialise(tokenise(docs, length, tokenizer_path or vocabulary_path()), "sequences")
+    seqs = materialise(tokenise(docs, length, tokenizer_path or vocabulary_path()), "sequences", **{"parquet.enable.dictionary": "false"})
     # one row per file of the table above: its first sequence number
     sizes = sorted((r["task"], r["n"]) for r in seqs.groupBy("task").agg(F.count("*").alias("n")).collect())
     first, n = {}, 0
@@ -120,15 +132,20 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
         pack = zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
             slot = slots_of(b.column(0).to_numpy(), b.column(1).to_numpy())
-            ids = b.column(2).to_pylist()
+            ids = b.column(2)
+            edges = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            flat = np.frombuffer(ids.buffers()[2], np.uint8)[edges[0] : edges[-1]].view("<u2")
+            filled = np.full((len(ids), length), FILL, "<u2")
+            filled[np.arange(length) < (np.diff(edges) // 2)[:, None]] = flat
+            records = np.full((len(ids), stride(length)), 10, np.uint8)
+            records[:, :-1] = filled.view(np.uint8)
             order = np.argsort(slot // per_shard, kind="stable")
             cuts = np.flatnonzero(np.diff((slot // per_shard)[order])) + 1
             shard, blob = [], []
             for part in np.split(order, cuts):
                 if len(part):
                     shard.append(int(slot[part[0]] // per_shard))
-                    rows = [ids[i].ljust(2 * length, b"\xff") + b"\n" for i in part.tolist()]
-                    blob.append(pack.compress(len(part).to_bytes(4, "little") + slot[part].tobytes() + b"".join(rows)))
+                    blob.append(pack.compress(len(part).to_bytes(4, "little") + slot[part].tobytes() + records[part].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(blob, pa.binary())], names=["shard", "blob"])
 
     def lay(batches):
@@ -170,8 +187,8 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
     return seqs.select("task", "pos", "doc_id", "piece", "n", "crc").mapInArrow(index, INDEX)
 
 
-def read_shards(spark: SparkSession, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, from_slot: int = 0) -> DataFrame:
-    """(slot, ids, stored_crc32) of every record from ``from_slot`` on, shard by shard."""
+def read_shards(spark: SparkSession, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, from_slot: int = 0, with_ids: bool = True) -> DataFrame:
+    """(slot, ids, stored_crc32) of every record from ``from_slot`` on, shard by shard; ids as 32-bit, null if not wanted."""
 
     def run(batches):
         kind = np.dtype([("ids", "<u2", (length,)), ("end", "u1")])
@@ -182,10 +199,12 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, per_shard:
                 rows = np.frombuffer(raw, kind)["ids"][skip:]
                 size = (rows != FILL).sum(axis=1)
                 for at in range(0, len(rows), 4096):
-                    ids = [r[:k].astype("<u4") for r, k in zip(rows[at : at + 4096], size[at : at + 4096])]
-                    slot = np.arange(len(ids)) + shard * per_shard + skip + at
+                    some, k = rows[at : at + 4096].astype("<u4"), size[at : at + 4096]
+                    whole = some.tobytes()
+                    parts = [whole[i : i + 4 * m] for i, m in zip(range(0, len(whole), 4 * length), k.tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(slot), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64())], names=["slot", "ids", "stored_crc32"]
+                        [pa.array(np.arange(len(some)) + shard * per_shard + skip + at), pa.array(parts if with_ids else [None] * len(some), pa.binary()), pa.array(map(zlib.crc32, parts), pa.int64())],
+                        names=["slot", "ids", "stored_crc32"],
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
@@ -201,5 +220,5 @@ def materialise_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PE
     index = write_shards(docs, path, length, per_shard)
     if index.isEmpty():
         return index.withColumn("stored_crc32", F.lit(None).cast("long"))
-    back = read_shards(spark, path, length, per_shard).select("slot", "stored_crc32")
-    return index.join(back, "slot", "left").select("doc_id", "piece", "slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "stored_crc32")
+    back = read_shards(spark, path, length, per_shard, with_ids=False).select("slot", "stored_crc32")
+    return index.join(back.hint("shuffle_hash"), "slot", "left").select("doc_id", "piece", "slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "stored_crc32")
