@@ -131,6 +131,8 @@ def train_all(df: DataFrame, suffixes: Suffixes, seed: int = 42, kinds: tuple[st
     """Group split, augmentation, one featurisation for all models, reports, choice by adversarial macro-F1."""
     if df.limit(MIN_ROWS).count() < MIN_ROWS:
         raise ValueError("too few labelled rows")
+    # generated or read once, however often the parts below are used
+    df = df.select("id", "text", "label", "template_id").coalesce(df.sparkSession.sparkContext.defaultParallelism).persist()
     df = df.withColumn("grp", F.coalesce(F.col("template_id"), F.concat(F.lit("row_"), F.col("id"))))
     split = group_split(df, "grp", {"train": 0.7, "val": 0.1, "test": 0.2}, seed)
     classes = sorted(r[0] for r in df.select("label").distinct().collect())
@@ -141,7 +143,8 @@ def train_all(df: DataFrame, suffixes: Suffixes, seed: int = 42, kinds: tuple[st
     features = fit_features(base)
     ready = lambda d: indexed(features.transform(d), classes)
     fit_on = ready(base).persist()
-    parts = {"val": ready(featurised(split.filter("part = 'val'"), suffixes)), "test": ready(featurised(test, suffixes)), "adversarial": ready(featurised(adversarial, suffixes))}
+    held = {"val": split.filter("part = 'val'"), "test": test, "adversarial": adversarial}
+    parts = {name: ready(featurised(d, suffixes)).select("label", "features", "_y").persist() for name, d in held.items()}
     metrics: dict = {"headline_metric": "adversarial_macro_f1", "seed": seed, "models": {}}
     best = None
     for kind in kinds:
@@ -151,6 +154,7 @@ def train_all(df: DataFrame, suffixes: Suffixes, seed: int = 42, kinds: tuple[st
         if model.kind != "margin" and (best is None or metrics["models"][kind]["adversarial_macro_f1"] > metrics["models"][best.name]["adversarial_macro_f1"]):
             best = Trained(features, model, kind, metrics)
     base.unpersist()
-    fit_on.unpersist()
+    for d in (fit_on, *parts.values()):
+        d.unpersist()
     metrics["served_model"] = best.name
     return best
