@@ -22,6 +22,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -209,8 +211,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Documents without an id cannot name a component and stay.
     """
-    keep = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    held = docs.filter(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_keep")).drop("_keep")
+    tag = uuid.uuid4().hex  # names that no column of the documents has
+    keep, n = f"keep_{tag}", f"n_{tag}"
+    named = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
+    held = docs.filter(F.col("doc_id").isNotNull()).join(named, F.col("doc_id") == F.col(keep)).drop(keep)
     # rows that repeat a doc_id: the same hash partitioning serves the window
-    first = held.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
+    first = held.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(n) == 1).drop(n)
     return first.select(docs.columns).union(docs.filter(F.col("doc_id").isNull()))
