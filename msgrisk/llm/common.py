@@ -44,13 +44,6 @@ def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a table this run wrote, through Hadoop so that any store works."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def map_rows(df: DataFrame, fn: Callable[[list[list]], list], schema: str | T.StructType, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply ``fn(columns) -> output columns`` to slices of at most ``rows`` rows.
 
@@ -106,10 +99,5 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def hash_order(*cols):
-    """A deterministic pseudo-random order that does not depend on partitioning."""
-    return F.xxhash64(*cols)
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30.0, 30.0)))

@@ -144,7 +144,3 @@ class WordCodec:
         ids, bounds = self.encode_flat(texts)
         raw, at = ids.tobytes(), (bounds * 4).tolist()
         return [raw[a:b] for a, b in zip(at, at[1:])]
-
-    def encode_words(self, ws: list[bytes]) -> list[bytes]:
-        """Ids of single words, each encoded on its own; the cache is not used."""
-        return [array("I", e.ids).tobytes() for e in self.batch([w.decode("utf-8", "replace") for w in ws], add_special_tokens=False)]
