@@ -10,6 +10,7 @@ are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -61,6 +62,11 @@ class WordCodec:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        # the same merges without normalising or matching patterns: enough for words of a-z
+        lean = json.loads(self.tokenizer.to_str())
+        lean |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        lean = Tokenizer.from_str(json.dumps(lean))
+        self.lean_batch = getattr(lean, "encode_batch_fast", lean.encode_batch)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
@@ -72,23 +78,24 @@ class WordCodec:
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
-        plain, rest = [], []
+        ascii_, plain, rest = [], [], []
         for w in new:
             kept = older.get(w)
             if kept is not None:
                 cache[w] = kept
             else:
-                (plain if w.isalpha() else rest).append(w)
+                (rest if not w.isalpha() else ascii_ if w.isascii() else plain).append(w)
         # words of letters only are one word to the tokenizer: encode many at once, cut at word ends
-        for at in range(0, len(plain), JOINED_WORDS):
-            some = plain[at : at + JOINED_WORDS]
-            ids = np.array(self.batch([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.closes[ids]) + 1
-            if len(cuts) != len(some):
-                rest += some
-                continue
-            raw, ends = ids.tobytes(), (cuts * 4).tolist()
-            cache.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends)]))
+        for batch, group in ((self.lean_batch, ascii_), (self.batch, plain)):
+            for at in range(0, len(group), JOINED_WORDS):
+                some = group[at : at + JOINED_WORDS]
+                ids = np.array(batch([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.flatnonzero(self.closes[ids]) + 1
+                if len(cuts) != len(some):
+                    rest += some
+                    continue
+                raw, ends = ids.tobytes(), (cuts * 4).tolist()
+                cache.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends)]))
         for w, e in zip(rest, self.batch(rest, add_special_tokens=False)):
             cache[w] = array("I", e.ids).tobytes()
 
@@ -109,12 +116,20 @@ class WordCodec:
             return raw if b"'" in raw else MARKS.sub(rb" \g<0> ", raw)
         return raw.replace(b".", b" . ").replace(b",", b" , ")
 
+    @staticmethod
+    def _listed(words: pa.StringArray) -> list[str]:
+        """The words as a list, by way of one joined string: no word holds a space."""
+        if not len(words):
+            return []
+        whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        return pc.binary_join(whole, " ")[0].as_py().split(" ")
+
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids begin (and the last end)."""
         ready = [self.prepared(t) for t in texts]
         lists = pc.ascii_split_whitespace(pa.array([r or b"" for r in ready], pa.binary()).cast(pa.string()))
         coded = lists.flatten().dictionary_encode()
-        vocab, word = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        vocab, word = self._listed(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
         missing = [w for w in vocab if w not in self.cache]
         held = self.cache
         self._learn(missing)
