@@ -41,7 +41,7 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[str, tuple[int, list[str]]]:
-    """Pattern -> (words in it, ids of the items that hold it)."""
+    """Pattern -> (words in it, ids of the items that hold it, an id perhaps again if its rows are apart)."""
     out: dict[str, tuple[int, list[str]]] = {}
     for item, text in items:
         ws = normal_words(text)
@@ -49,7 +49,7 @@ def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) ->
         for i in range(len(ws) - size + 1) if ws else ():
             key = " " + b" ".join(ws[i : i + size]).decode("utf-8", "replace") + " "
             held = out.setdefault(key, (size, []))[1]
-            if str(item) not in held:
+            if not held or held[-1] != str(item):  # a window may be shared by very many items
                 held.append(str(item))
     return out
 
