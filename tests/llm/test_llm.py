@@ -111,6 +111,20 @@ def test_secret_network_held_out():
     assert secrets.redacted(text, secrets.find([text], net)[0][1]) == "deploy with key [cnn] and go"
 
 
+def test_key_deep_in_a_long_run():
+    net = secrets.trained()
+    for deep in ("services/team-notes/archive/releases/current/", "docs/handbook/operations/regional-offices/north/"):
+        text = f"see {deep}Zk3Qp9XwT7bLm2Rv8NcYs4Hd6Jf1GaKe and go"
+        assert secrets.redacted(text, secrets.find([text], net)[0][1]) == "see [cnn] and go"
+    text = "see services/team-notes/archive/releases/current/minutes-of-the-meeting-12 and go"
+    assert secrets.find([text], net)[0][1] == []
+    data = secrets.deep_findings(1000, 77)
+    y = np.array([d[3] for d in data])
+    kind = np.array([secrets.family(t[a:b]) for t, a, b, *_ in data])
+    said = net.best([d[:3] for d in data]) >= net.limits[kind]
+    assert said[y == 1].mean() > 0.94 and said[y == 0].mean() < 0.03
+
+
 def test_decontaminate_spans(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa"
     d = spark.createDataFrame([(1, f"X. {item.upper()}! y"), (2, "alpha beta gamma delta epsilon zeta eta"), (3, None), (4, "q Short ITEM z. " + item)], "doc_id long, text string")
