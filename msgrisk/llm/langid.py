@@ -2,7 +2,8 @@
 
 The network reads the bytes of each word in both directions, gives every byte
 position a distribution over the languages and is trained by backpropagation
-through time in numpy on words of a bounded sample of labelled documents. A
+through time in numpy on words of a bounded sample of the labelled documents of
+each language, so that a rare language is learned at any input size. A
 word's distribution is the geometric mean over its positions, a document's the
 mean of its words' weighted by their positions, over the whole text. As the
 state starts anew at each word, a word seen before is looked up, and only new
@@ -16,6 +17,7 @@ text is ``und``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from msgrisk.llm.common import fold, fold_col, map_rows, words
 
-SAMPLE_DOCS = 3000  # labelled documents to learn from
+SAMPLE_DOCS = 750  # labelled documents of each language to learn from; all where there are fewer
 SAMPLE_WORDS = 40  # words of each
 HIDDEN = 16
 MAX_BYTES = 24
@@ -32,6 +34,7 @@ STEPS = 320
 BATCH = 384
 SEED = 11
 CACHE_WORDS = 400_000
+HASHES = 1_000_000_000  # of which a language's share is drawn
 PUNCTUATION = b".,;:!?\"'()[]{}*#$%&|<>-"
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -141,7 +144,7 @@ def byte_rows(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for at in range(0, len(w), MAX_BYTES):
             pieces.append(w[at : at + MAX_BYTES])
             owner.append(i)
-    rows = np.full((len(pieces), MAX_BYTES), 256, np.int64)
+    rows = np.full((len(pieces), MAX_BYTES), 256, np.int16)
     for i, w in enumerate(pieces):
         rows[i, : len(w)] = np.frombuffer(w, np.uint8)
     return rows, np.array(owner, np.int64)
@@ -210,25 +213,31 @@ class Labeller:
 
 
 def train(docs: DataFrame, learn_from=None, sample_docs: int = SAMPLE_DOCS) -> ByteGru | None:
-    """Fit on words of at most ``2 * sample_docs`` documents with a language, picked by a hash of the id."""
+    """Fit on words of about ``sample_docs`` documents of each language, picked by a hash of id and text.
+
+    Equal rows count once, so what is collected stays near that number however often an id occurs.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = labelled.filter(learn_from) if learn_from is not None else labelled
-    n = labelled.count()
-    share = min(1.0, sample_docs / max(1, n))
-    picked = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return None
+    limits = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, math.ceil(HASHES * min(1.0, sample_docs / n)))])
+    picked = labelled.filter(F.pmod("h", F.lit(HASHES)) < F.element_at(limits, F.col("lang")))
 
     def sample(cols):
-        rng = np.random.default_rng(SEED)
-        out: tuple[list, list] = ([], [])
-        for lang, text in zip(*cols):
+        out: tuple[list, list, list] = ([], [], [])
+        for lang, text, h in zip(*cols):
             ws = [w.strip(PUNCTUATION)[:MAX_BYTES] for w in words(text)]
             ws = [w for w in ws if w]
             if ws:
-                out[0].append(lang)
-                out[1].append([ws[i] for i in rng.integers(0, len(ws), min(SAMPLE_WORDS, len(ws)))])
+                rng = np.random.default_rng([SEED, h % (1 << 64)])
+                for column, value in zip(out, (lang, h, [ws[i] for i in rng.integers(0, len(ws), min(SAMPLE_WORDS, len(ws)))])):
+                    column.append(value)
         return out
 
-    rows = map_rows(picked, sample, "lang string, ws array<binary>").limit(2 * sample_docs).collect()
+    rows = map_rows(picked, sample, "lang string, h long, ws array<binary>").groupBy("lang", "h").agg(F.first("ws").alias("ws")).collect()
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None

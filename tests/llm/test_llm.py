@@ -199,6 +199,23 @@ def test_language_and_toxicity_held_out(spark):
     assert sum(y == p for y, p in said) / len(said) > 0.9
 
 
+def test_rare_language_is_learned(spark):
+    rare = [(100_000 + i, "zq", f"xolotl zqanti wuxqu {i}") for i in range(8)]
+    common = [(i, "en", f"the house by the river {i}") for i in range(3000)]
+    repeated = [(None, "en", "one and the same row")] * 500
+    table = spark.createDataFrame(common + rare + repeated, "doc_id long, lang string, text string")
+    drawn = []
+    fit = langid.ByteGru.fit
+    try:
+        langid.ByteGru.fit = lambda self, xs, ys: drawn.append(np.bincount(ys)) or fit(self, xs, ys)
+        nets = [langid.train(table.repartition(n), sample_docs=60) for n in (2, 5)]
+    finally:
+        langid.ByteGru.fit = fit
+    assert nets[0].langs == ["en", "zq"] and langid.Labeller(nets[0])(["zqanti xolotl"])[0][0] == "zq"
+    assert drawn[0][1] == 8 * 4 and drawn[0][0] < 6 * 120  # all rare documents, a bounded part of the others
+    assert all((nets[0].p[k] == nets[1].p[k]).all() for k in nets[0].p)  # whatever the partitions
+
+
 def test_toxic_sentence_is_located():
     clean = "the cat sat on the mat. birds sing in the morning. rain fell on the hills"
     det = toxicity.fit([(1, f"{clean}. you vile fool. {clean}")] * 30 + [(0, f"{clean}. you kind friend. {clean}")] * 30)
