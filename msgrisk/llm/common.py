@@ -2,7 +2,9 @@
 
 Every operator reads only the columns it is told to, so extra columns with
 clashing names never matter, and every per-row function runs inside
-``mapInArrow`` over slices of a batch, so that memory is bounded by the slice.
+``mapInArrow`` over slices of a batch. A slice ends at ``SLICE_ROWS`` rows or
+``SLICE_BYTES`` bytes, whichever comes first, but holds at least one row, so
+memory is bounded by these and by the longest text.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_ROWS = 512
+SLICE_BYTES = 32 << 20
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
@@ -27,13 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder all executors share; a local one only in local mode with none configured."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = LOCAL_CHECKPOINTS
     return f"{root.rstrip('/')}/msgrisk"
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; it is deleted when the session's file system closes."""
+    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
@@ -44,6 +56,24 @@ def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch of at most ``rows`` rows and about ``size`` bytes, of one row at least."""
+    if batch.get_total_buffer_size() <= size:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        return
+    held = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(held), 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        k = max(1, min(rows, upto - at))
+        yield batch.slice(at, k)
+        at += k
+
+
 def map_rows(df: DataFrame, fn: Callable[[list[list]], list], schema: str | T.StructType, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply ``fn(columns) -> output columns`` to slices of at most ``rows`` rows.
 
@@ -55,8 +85,7 @@ def map_rows(df: DataFrame, fn: Callable[[list[list]], list], schema: str | T.St
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 cols = fn([c.to_pylist() for c in part.columns])
                 arrays = [pa.array(c, type=f.type, from_pandas=False) for c, f in zip(cols, arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
@@ -78,8 +107,8 @@ def map_stream(df: DataFrame, start: Callable[[], Callable[[list[list] | None],
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield from emit(step([c.to_pylist() for c in batch.slice(at, rows).columns]))
+            for part in slices(batch, rows):
+                yield from emit(step([c.to_pylist() for c in part.columns]))
         yield from emit(step(None))
 
     return df.mapInArrow(run, out)

@@ -5,14 +5,19 @@ space at each end so that it matches whole words only. Each document is
 normalised the same way, scanned once, and the matches are mapped back to word
 positions and, on request, to character spans of the original text.
 
-The patterns of a block of items are broadcast. A block holds at most
-``max_block_chars`` characters of items; a larger benchmark is scanned in
-several blocks, one after the other, in the same pass over the documents.
+A benchmark of up to ``max_block_chars`` characters (measured: 185 bytes of
+automaton a character) is one automaton, built in each Python worker from a
+broadcast of that size. A larger one is dealt by a hash of the item into blocks
+of that size; each block is a scan of its own with one automaton alive, its
+hits are written to the shared folder before the next block is read, and the
+hits of a document are then united.
 
 Edge cases: a null or word-less document has no words and no hits; a null or
 word-less item is never found; an item of fewer than eight words is one window;
 items that share a window are all counted; repeated rows are judged each for
-itself; empty tables give empty results or no hits.
+itself; a document of any length is scanned whole, as one line; only the columns
+named here are read, whatever others the tables have; empty tables give empty
+results or no hits.
 """
 
 from __future__ import annotations
@@ -20,16 +25,17 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgrisk.llm.common import map_rows
+from msgrisk.llm.common import map_rows, materialise, slices
 
 WINDOW = 8
 MIN_ITEMS = 2
-MAX_BLOCK_CHARS = 20_000_000
+MAX_BLOCK_CHARS = 1_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_WORD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
@@ -66,30 +72,35 @@ def automaton(patterns: dict[str, tuple[int, list[str]]]):
 
 
 class Scanner:
-    def __init__(self, blocks: list[dict]):
-        self.blocks = [(len(b) > 0, automaton(b)) for b in blocks]
+    """Scans texts with the automaton of one block of items."""
 
-    def __call__(self, text: str | None) -> tuple[int, np.ndarray, list[str]]:
-        """Words, which of them are hit (empty if none), and the items found."""
+    def __init__(self, patterns: dict):
+        self.some, self.automaton = len(patterns) > 0, automaton(patterns)
+
+    def __call__(self, text: str | None) -> tuple[list[bytes], list[tuple[int, int]], list[str]]:
+        """The words, the (first word, words) of each window found, and the items found."""
         ws = normal_words(text)
-        line = " " + b" ".join(ws).decode("utf-8", "replace") + " "
+        if not (self.some and ws):
+            return ws, [], []
         found: set[str] = set()
-        ranges = []
-        for some, a in self.blocks:
-            if some and ws:
-                for end, (length, size, held) in a.iter(line):
-                    found.update(held)
-                    ranges.append((end - length + 1, size))
+        ranges = set()
+        for end, (length, size, held) in self.automaton.iter(" " + b" ".join(ws).decode("utf-8", "replace") + " "):
+            found.update(held)
+            ranges.add((end - length + 1, size))
         if not ranges:
-            return len(ws), np.zeros(0, bool), []
+            return ws, [], []
         # the space before word k of the scanned line
         leads = np.cumsum([0] + [len(w.decode("utf-8", "replace")) + 1 for w in ws[:-1]])
-        edge = np.zeros(len(ws) + 1, np.int64)
-        for at, size in set(ranges):
-            k = int(np.searchsorted(leads, at))
-            edge[k] += 1
-            edge[k + size] -= 1
-        return len(ws), np.cumsum(edge[:-1]) > 0, sorted(found)
+        return ws, [(int(np.searchsorted(leads, at)), size) for at, size in sorted(ranges)], sorted(found)
+
+
+def hit_words(n: int, ranges: list[tuple[int, int]]) -> np.ndarray:
+    """Which of ``n`` words lie in a window."""
+    edge = np.zeros(n + 1, np.int64)
+    for at, size in ranges:
+        edge[at] += 1
+        edge[at + size] -= 1
+    return np.cumsum(edge[:-1]) > 0
 
 
 def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -107,55 +118,119 @@ def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(s) for s in spans]
 
 
-def benchmark_blocks(benchmark: DataFrame, max_block_chars: int = MAX_BLOCK_CHARS) -> list[list[tuple]]:
-    """The items in blocks of bounded size; read row by row, so that the driver holds one copy only."""
-    rows = benchmark.select("item_id", "text").toLocalIterator()
-    blocks: list[list[tuple]] = [[]]
-    chars = 0
-    for item, text in rows:
-        if chars > max_block_chars:
-            blocks.append([])
-            chars = 0
-        blocks[-1].append((item, text))
-        chars += len(text or "")
-    return blocks
+def benchmark_blocks(benchmark: DataFrame, max_block_chars: int = MAX_BLOCK_CHARS) -> list[DataFrame]:
+    """The items in blocks of about ``max_block_chars`` characters, dealt by a hash of the item."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-int(chars) // max_block_chars))
+    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
+
+
+def patterns_of(block: DataFrame) -> bytes:
+    """The windows of one block, for a broadcast; equal strings are stored once."""
+    return pickle.dumps(windows_of([tuple(r) for r in block.toLocalIterator()]))
+
+
+def united_hits(rows: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """(rid, found): the windows and items found in ``rows(rid, text)``, one block after the other."""
+    sc = rows.sparkSession.sparkContext
+    parts = []
+    for block in blocks:
+        shared = sc.broadcast(patterns_of(block))
+
+        def scan(cols, shared=shared, made=[]):  # noqa: B006  one scanner per worker
+            if not made:
+                made.append(Scanner(pickle.loads(shared.value)))
+            rids, found = [], []
+            for rid, text in zip(*cols):
+                _, ranges, items = made[0](text)
+                if ranges:
+                    rids.append(rid)
+                    found.append({"at": [a for a, _ in ranges], "size": [k for _, k in ranges], "items": items})
+            return rids, found
+
+        parts.append(materialise(map_rows(rows.select("rid", "text"), scan, "rid long, found struct<at:array<int>,size:array<int>,items:array<string>>"), "hits"))
+        shared.destroy()
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    return whole.groupBy("rid").agg(F.collect_list("found").alias("found"))  # at most one row of each block
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, max_block_chars: int = MAX_BLOCK_CHARS) -> DataFrame:
     """One row per document: words, hits, items and the spans of hit passages."""
-    sc = docs.sparkSession.sparkContext
-    # windows share one pickle per block: strings of a block are stored once
-    shared = [sc.broadcast(pickle.dumps(windows_of(b, window))) for b in benchmark_blocks(benchmark, max_block_chars)]
-    made: list[Scanner] = []
-
-    def run(cols):
-        if not made:
-            made.append(Scanner([pickle.loads(s.value) for s in shared]))
-        out: tuple[list, ...] = ([], [], [], [], [], [], [])
-        for doc, text in zip(*cols):
-            n, hit, found = made[0](text)
-            row = (doc, n, int(hit.sum()), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), len(found) >= min_items, [{"start": a, "end": b} for a, b in original_spans(text, hit)] if found else [])
-            for c, v in zip(out, row):
-                c.append(v)
-        return out
-
-    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns, in one pass over the text."""
-    import pyarrow as pa
 
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(pickle.dumps(windows_of(b))) for b in benchmark_blocks(benchmark)]
-    at = docs.columns.index("text")
+    def row_of(doc, text, ws, ranges, items):
+        hit = hit_words(len(ws), ranges)
+        spans = [{"start": a, "end": b} for a, b in original_spans(text, hit)] if ranges else []
+        return doc, len(ws), int(hit.sum()), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), len(items) >= min_items, spans
+
+    def columns(rows):
+        rows = list(rows)
+        return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(7)]
 
-    def run(batches):
-        scan = Scanner([pickle.loads(s.value) for s in shared])
-        for b in batches:
-            yield b.filter(pa.array([len(scan(t)[2]) < MIN_ITEMS for t in b.column(at).to_pylist()], pa.bool_()))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = benchmark_blocks(benchmark, max_block_chars)
+    if len(blocks) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(patterns_of(blocks[0]))
+        made: list[Scanner] = []
+
+        def run(cols):
+            if not made:
+                made.append(Scanner(pickle.loads(shared.value)))
+            return columns(row_of(doc, text, *made[0](text)) for doc, text in zip(*cols))
+
+        return map_rows(slim, run, SCHEMA)
+
+    def unite(cols):
+        def one(doc, text, found):
+            found = found or []
+            ranges = sorted({r for f in found for r in zip(f["at"], f["size"])})
+            return row_of(doc, text, normal_words(text), ranges, sorted({i for f in found for i in f["items"]}))
+
+        return columns(one(*r) for r in zip(*cols))
+
+    # written once: row ids must not change between the scans
+    rows = materialise(slim.withColumn("rid", F.monotonically_increasing_id()), "scanned")
+    return map_rows(rows.join(united_hits(rows, blocks), "rid", "left").select("doc_id", "text", "found"), unite, SCHEMA)
+
+
+def leaked(sizes: list[int], n_items: int, window: int = WINDOW, min_items: int = MIN_ITEMS) -> bool:
+    """A passage of a whole window, or enough items too short for one."""
+    return any(k >= window for k in sizes) or n_items >= min_items
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, max_block_chars: int = MAX_BLOCK_CHARS) -> DataFrame:
+    """The documents without a passage of the benchmark, with all their columns.
+
+    A document goes if it holds a whole window of some item, or ``MIN_ITEMS``
+    items of fewer words: one short item may be an ordinary phrase.
+    """
+    import pyarrow as pa
 
-    return docs.mapInArrow(run, docs.schema)
+    blocks = benchmark_blocks(benchmark, max_block_chars)
+    if len(blocks) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(patterns_of(blocks[0]))
+        at = docs.columns.index("text")
+
+        def run(batches):
+            scan = Scanner(pickle.loads(shared.value))
+            for b in batches:
+                for part in slices(b):
+                    good = []
+                    for text in part.column(at).cast(pa.string()).to_pylist():
+                        _, ranges, items = scan(text)
+                        good.append(not leaked([k for _, k in ranges], len(items)))
+                    yield part.filter(pa.array(good, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    rid = f"rid_{uuid.uuid4().hex}"  # a name that no column of the documents has
+    rows = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "scanned")
+    found = united_hits(rows.select(F.col(rid).alias("rid"), F.col("text").cast("string").alias("text")), blocks)
+    sizes = F.flatten(F.transform("found", lambda f: f["size"]))
+    items = F.size(F.array_distinct(F.flatten(F.transform("found", lambda f: f["items"]))))
+    bad = found.filter((F.array_max(sizes) >= WINDOW) | (items >= MIN_ITEMS)).select(F.col("rid").alias(rid))
+    return rows.join(bad, rid, "left_anti").select(docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -142,7 +142,10 @@ def test_decontaminate_spans(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa"
     d = spark.createDataFrame([(1, f"X. {item.upper()}! y"), (2, "alpha beta gamma delta epsilon zeta eta"), (3, None), (4, "q Short ITEM z. " + item)], "doc_id long, text string")
     b = spark.createDataFrame([(10, item), (9, "short item"), (8, None), (7, " .. ")], "item_id long, text string")
-    for chars in (1, 10**6):  # several blocks, one block
+    for chars in (30, 10**6):  # several blocks, one block
+        assert len(decontaminate.benchmark_blocks(b, chars)) == (3 if chars == 30 else 1)
+        kept = decontaminate.clean(d, b, chars)
+        assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
         out = {r["doc_id"]: r for r in decontaminate.decontaminate(d, b, max_block_chars=chars).collect()}
         assert (out[1]["n_hit"], out[1]["n_items"], out[1]["contaminated"]) == (10, 1, False)
         assert (out[2]["n_hit"], out[3]["n_words"], out[4]["n_items"], out[4]["contaminated"]) == (0, 0, 2, True)
