@@ -1,7 +1,14 @@
 """The training-corpus pipeline: filter, deduplicate, decontaminate, redact, pack.
 
 Every stage works on all that its predecessor kept, and is written as Parquet
-and read again for the next. All but the last keep the columns of documents.
+and read again for the next. All but the last keep the columns of documents,
+whatever they are named.
+
+Edge cases, the same in all stages: a null or word-less text is rejected by the
+quality rules; a null doc_id is kept as a document like any other; repeated rows
+are near duplicates of each other and leave one; rows that share an id but not a
+text are separate documents; a text of any length is read whole; an empty table
+gives an empty result, and an empty benchmark rejects nothing.
 """
 
 from __future__ import annotations
@@ -18,12 +25,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
+    """One document of each near-duplicate component stays, that of the smallest id."""
     return simhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of two or more benchmark items go."""
+    """Documents with a passage of a benchmark item go: eight words in a row, or two whole shorter items."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
