@@ -64,21 +64,49 @@ def test_fingerprints_and_components(spark, rows):
     assert {d: out[d]["component_id"] for d in ids} == {d: find(d) for d in ids}
 
 
-def test_pivot_pairs_and_large_blocks(spark, monkeypatch):
+def roots_of(fps):
+    """The least fingerprint reachable within two bits, by brute force."""
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 2
+    label = np.arange(len(fps))
+    while True:
+        new = np.where(near, label[None], len(fps)).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("group", [4096, 300, 20])  # one group; cells of pivots; cells and one-bit neighbours
+def test_pivot_groups_of_any_size(spark, monkeypatch, group):
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 2**63, dtype=np.uint64)
-    fp = np.unique(np.array([centre ^ np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 63, k)))) for k in rng.integers(0, 7, 500)], np.uint64))
-    i, j = simhash.pivot_pairs(fp, np.bitwise_count(fp[:, None] ^ simhash.pivots()).astype(np.uint8))
+    ball = [centre ^ np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 63, k)))) for k in rng.integers(0, 7, 500)]
+    wide = [(centre & np.uint64(2**21 - 1)) | (np.uint64(x) << np.uint64(21)) for x in rng.integers(0, 2**43, 400)]  # one bit block in common
+    wide += [x ^ np.uint64(1 << int(b)) for x, b in zip(wide[:200], rng.integers(21, 64, 200))]
+    fp = np.unique(np.array(ball + wide, np.uint64))
+    i, j = simhash.pivot_pairs(fp, simhash.distances(fp))
     want = {(a, b) for a in range(len(fp)) for b in range(a + 1, len(fp)) if int(fp[a] ^ fp[b]).bit_count() <= 2}
     assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())} == want
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "STRETCH", 10 * group)
     classes = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
-    a, b = simhash.forest(len(fp), i, j)
-    n = len(fp) - len(a)
-    for small, large in ((10_000, 20_000), (0, 20_000), (0, 50)):  # pairs; neighbours in a task; neighbours over the cluster
-        monkeypatch.setattr(simhash, "SMALL", small)
-        monkeypatch.setattr(simhash, "LARGE", large)
-        roots = {r["vertex"]: r["root"] for r in graph.components(simhash.links(classes)).collect()}
-        assert len({roots.get(int(x), int(x)) for x in fp.view(np.int64)}) == n, (small, large)
+    roots = {r["vertex"]: r["root"] for r in graph.components(simhash.links(classes)).collect()}
+    got = [roots.get(int(x), int(x)) for x in fp.view(np.int64)]
+    want = roots_of(fp)
+    assert len(set(zip(got, want.tolist()))) == len(set(got)) == len(set(want.tolist()))
+
+
+def test_deduplicate_tells_rows_of_one_id_apart(spark):
+    a, b = "the first text of all with some words", "quite another thing that is said here"
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (None, b, "y"), (7, None, "x"), (None, "", "x"), (9, "only one of these", "p"), (9, "only one of these", "q"), (9, "only one of these", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    for limit in (simhash.MARKS_BROADCAST, 0):
+        simhash.MARKS_BROADCAST, old = limit, simhash.MARKS_BROADCAST
+        try:
+            got = simhash.deduplicate(docs)
+            assert got.columns == docs.columns
+            assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(3, a), (5, b), (7, None), (9, "only one of these")]
+        finally:
+            simhash.MARKS_BROADCAST = old
 
 
 def test_components_of_a_chain(spark):
@@ -297,19 +325,34 @@ def test_edge_cases(spark):
 
 
 def test_pipeline(spark, tmp_path):
-    clean = [" ".join(f"{a}{b}{i}" for b in "abcdefghij" for a in "klmnopqr") for i in range(4)]
+    clean = [" ".join(f"{a}{b}{i}" for b in "abcdefghij" for a in "klmnopqr") for i in range(6)]
     items = [" ".join(f"q{k}w{j}" for j in range(12)) for k in range(2)]
-    table = [(i, t) for i, t in enumerate(clean)] + [(10, clean[0]), (11, "too short"), (12, clean[1][:300] + " " + items[0] + " " + items[1] + clean[2][:200]), (13, clean[3] + " z token=abcdefgh12345678 " + " ".join(f"u{i}" for i in range(60)))]
+    seven = " ".join(items[1].split()[:7])
+    table = [(i, t) for i, t in enumerate(clean[:4])]
+    table += [(10, clean[0]), (11, "too short"), (13, clean[3] + " z token=abcdefgh12345678 " + " ".join(f"u{i}" for i in range(60)))]
+    table += [(12, clean[1][:300] + " " + items[0].upper() + " " + clean[2][:200]), (14, clean[4] + " " + seven), (None, clean[5]), (15, None), (16, ""), (0, clean[0]), (3, clean[2])]
     d = tmp_path / "t"
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in table], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(d / "documents.parquet"))
-    spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+    spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in table], "doc_id long, text string, lang string, source string, n_chars long, rid string").coalesce(1).write.parquet(str(d / "documents.parquet"))
+    spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(7, None)], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
     docs = spark.read.parquet(str(d / "documents.parquet"))
     kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(d))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        kept.append(sorted(r["doc_id"] for r in docs.collect()))
-    assert kept == [[0, 1, 2, 3, 10, 12, 13], [0, 1, 2, 3, 12, 13], [0, 1, 2, 3, 13], [0, 1, 2, 3, 13]]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "rid"]
+        kept.append(sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in docs.collect()))
+    assert kept[0] == [-1, 0, 0, 1, 2, 3, 3, 10, 12, 13, 14]
+    assert kept[1] == [-1, 0, 1, 2, 3, 12, 13, 14]  # 10, the second 0 and the 3 with the text of 2 are copies
+    assert kept[2:] == [[-1, 0, 1, 2, 3, 13, 14]] * 2  # one item suffices
     text = docs.filter("doc_id = 13").first()
     assert "abcdefgh12345678" not in text["text"] and text["n_chars"] == len(text["text"])
-    assert sorted({r["doc_id"] for r in corpus_pipeline.run(spark, str(d)).collect()}) == [0, 1, 2, 3, 13]
+    enc = tokens.codec(tokens.vocabulary_path())
+    want = sorted((-1 if r["doc_id"] is None else r["doc_id"], zlib.crc32(np.array(enc.tokenizer.encode(r["text"], add_special_tokens=False).ids + [0], "<u4").tobytes())) for r in docs.collect())
+    out = corpus_pipeline.run(spark, str(d)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["ids_crc32"]) for r in out) == want
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
+    for (s, a, n), (t, b, _) in zip(places, places[1:]):
+        assert b == (a + n if s == t else 0)
+    empty = tmp_path / "e"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(str(d / "benchmark.parquet")).limit(0).write.parquet(str(empty / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
