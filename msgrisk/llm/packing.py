@@ -1,24 +1,40 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
 The histogram (at most ``capacity`` rows, whatever the input size) goes to the
-driver. There a packing LP over configurations (multisets of lengths that fit
-in one sequence) is solved approximately by multiplicative weights: the price
-of a length is its size times a weight that decays as the length is covered,
-and the best configuration at these prices comes from a bounded knapsack by
-dynamic programming. Each round's configuration is rounded down to whole
-sequences; what rounding leaves is packed by best fit on the histogram. The
-plan is then joined to the pieces by their rank within their length.
+driver. A configuration is a multiset of lengths that fit in one sequence; the
+program covers every length as often as it occurs with the fewest sequences.
+
+* Multiplicative weights: a length's price is its size times a weight that
+  falls exponentially with its coverage. An unbounded knapsack by dynamic
+  programming prices all configurations at once; the round takes, for each
+  length, a configuration that holds it and is filled by lengths drawn by their
+  supply as long as the knapsack's table says that the best value (almost) stays
+  in reach, and adds a fractional amount of it, the more the more valuable it
+  is. The prices over the best value are a feasible dual solution, so each round
+  gives a lower bound. A phase of ``ROUNDS`` rounds ends with amounts that use
+  nothing more often than it occurs; the next phase works on what is left
+  uncovered, until the fractional value is within ``GAP`` of the bound.
+* Rounding: amounts are rounded down, and then up, largest fractions first,
+  while all pieces of a configuration are there. Only configurations that the
+  dual prices call (nearly) tight are used. The program is solved again for what
+  rounding leaves, until that places next to nothing.
+* What is left then is packed by best fit on the histogram.
+
+The plan is joined to the pieces by their rank within their length.
 
 Edge cases: a null or empty text is one piece holding only the end id; a text
-longer than ``capacity`` is cut into full pieces and a rest; repeated rows are
-packed each for itself; an empty table gives an empty result; a null doc_id is
-kept.
+longer than ``capacity`` is cut into full pieces and a rest, whatever its
+length; repeated rows are packed each for itself, and equal rows without an id
+too; other columns are not read; an empty table gives an empty result; a null
+doc_id is kept.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +46,20 @@ from msgrisk.llm.tokens import codec, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 200  # of multiplicative weights
-DECAY = 3.0  # of a length's weight by the share covered
-BIG_FIRST = 1.1  # power of the size in a price: large pieces first among equally full configurations
+ROUNDS = 24  # of multiplicative weights in a phase
+PHASES, MORE_PHASES = 10, 3  # at most, each on what the phases before it leave uncovered; after the first rounding
+GAP = 0.01  # between the fractional value and the dual bound at which phases end
+DECAY = 2.0  # exponent of a length's weight by the share covered
+STEP = 0.05  # most of a length's occurrences covered in a round
+TEMPERATURE = 0.05  # slack at which a configuration gets 1/e of the share of the best
+DRAWS, LOSS = 4, 0.0005  # draws of a filling's next length; value a draw may cost
+TIGHT = 0.004  # slack of a configuration at the dual prices for it to be used
+BIG_FIRST = 1.07  # power of the size in the first prices: large pieces first among equally full configurations
+STAGES = 5  # solutions and roundings, at most
+SEED = 11
 RANK_GROUP = 20_000  # pieces of one length ranked together
 
+LOG = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -64,29 +89,169 @@ def document_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity
     return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES, rows=2048)
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, bounds: np.ndarray, capacity: int) -> np.ndarray:
-    """Bounded knapsack by dynamic programming: counts of each length, of the highest price."""
-    item, size, value = [], [], []
-    for i, (l, p, b) in enumerate(zip(lengths.tolist(), prices.tolist(), np.minimum(bounds, capacity // lengths).tolist())):
-        step = 1
-        while b > 0:  # binary splitting of the bound
-            take = min(step, b)
-            item.append((i, take)), size.append(l * take), value.append(p * take)
-            b, step = b - take, step * 2
-    best = np.zeros(capacity + 1)
-    taken = np.zeros((len(item), capacity + 1), bool)
-    for k, (s, v) in enumerate(zip(size, value)):
-        if s <= capacity:
-            with_it = best[: capacity + 1 - s] + v
-            better = with_it > best[s:] + 1e-12
-            taken[k, s:] = better
-            best[s:] = np.where(better, with_it, best[s:])
-    counts, room = np.zeros(len(lengths), np.int64), capacity
-    for k in range(len(item) - 1, -1, -1):
-        if taken[k, room]:
-            counts[item[k][0]] += item[k][1]
-            room -= size[k]
-    return counts
+@dataclass
+class Solution:
+    """A plan and what it is known to be worth."""
+
+    plan: list[tuple[dict[int, int], int]]  # (configuration, sequences)
+    lower_bound: float  # dual bound of the linear program: no packing has fewer sequences
+    fractional: float  # value of the fractional solution
+    rounds: int = 0
+    from_program: int = 0  # sequences of rounded configurations
+    from_best_fit: int = 0
+    full: int = 0  # pieces that fill a sequence alone
+    stages: list[tuple[int, int]] = field(default_factory=list)  # sequences rounded, pieces left
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.plan)
+
+
+def price_configurations(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: best value of every room, and the length taken first for it (0: none).
+
+    ``price[l]`` is the price of length ``l``, minus infinity where there is none.
+    """
+    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for room in range(1, capacity + 1):
+        value = price[1 : room + 1] + best[room - 1 :: -1]
+        # the longest of equals: position 0 of the reversed values is the whole room
+        k = room - int(value[::-1].argmax())
+        if value[k - 1] > best[room - 1] + 1e-12:
+            best[room], take[room] = value[k - 1], k
+        else:
+            best[room], take[room] = best[room - 1], 0 if room == 1 else -1  # as the room one less
+    return best, take
+
+
+def fillings(price: np.ndarray, best: np.ndarray, take: np.ndarray, supply: np.ndarray, first: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """For each length of ``first``: it and a filling of the rest, a row of lengths (0: none), longest first.
+
+    At each step a length is drawn by its supply and taken if the knapsack's
+    table says that the rest can still be filled to (almost) the best value;
+    otherwise, after ``DRAWS`` draws, the table's own choice is taken. So equally
+    good configurations are mixed as the supply asks for.
+    """
+    capacity = len(best) - 1
+    drawn = np.cumsum(supply)  # by length
+    room, out = capacity - first, [first]
+    while True:
+        t = take[room]
+        while (t < 0).any():
+            room = np.where(t < 0, room - 1, room)
+            t = take[room]
+        if not t.any():
+            break
+        open_ = t > 0
+        for _ in range(DRAWS):
+            try_ = np.searchsorted(drawn, rng.random(len(room)) * drawn[room], side="right")
+            try_ = np.minimum(try_, room)
+            good = open_ & (supply[try_] > 0) & (price[try_] + best[room - try_] >= best[room] - LOSS * best[capacity])
+            t = np.where(good, try_, t)
+            open_ &= ~good
+        out.append(t)
+        room = room - t
+    return np.sort(np.stack(out, axis=1), axis=1)[:, ::-1]
+
+
+class Program:
+    """The fractional program over one histogram."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int):
+        self.lengths, self.n, self.capacity = lengths, counts.astype(float), capacity
+        self.at = np.full(capacity + 1, len(lengths))  # the last place stands for no length
+        self.at[lengths] = np.arange(len(lengths))
+        self.rng = np.random.default_rng(SEED)
+        self.amount: dict[tuple, float] = {}
+        self.rest = self.n.copy()  # not covered yet
+        self.prices, self.value, self.rounds = lengths / capacity, math.inf, 0
+        self.bound = float(self.n @ self.prices)  # by size, the first dual solution
+
+    def per_length(self, which: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.bincount(which.ravel(), np.repeat(x, which.shape[1]), len(self.lengths) + 1)[:-1]
+
+    def phase(self, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Multiplicative weights on what is not covered: configurations (rows) and their amounts."""
+        n = np.maximum(self.rest, 1e-12)
+        base = self.prices * (self.lengths / self.capacity) ** (BIG_FIRST - 1)
+        pressure = np.zeros(len(n))  # share of a length covered in this phase: what prices answer to
+        supply = np.zeros(self.capacity + 1)
+        supply[self.lengths] = self.rest
+        price = np.full(self.capacity + 1, -np.inf)
+        rows, amounts = [], []
+        for k in range(rounds):
+            y = base * np.exp(-DECAY * (pressure - pressure.min()))
+            price[self.lengths] = y
+            best, take = price_configurations(price, self.capacity)
+            self.rounds += 1
+            if self.n @ y / best[self.capacity] > self.bound:
+                self.bound, self.prices = float(self.n @ y / best[self.capacity]), y / best[self.capacity]
+            filled = fillings(price, best, take, supply, self.lengths, self.rng)
+            which = self.at[filled]
+            slack = 1 - np.append(y, 0.0)[which].sum(axis=1) / best[self.capacity]
+            # no length is covered by more than STEP, and no configuration is held back by lengths that are
+            # not its own; the more valuable a configuration is, the more of it
+            crowd = np.append(self.per_length(which, n) / n, 0.0)[which].max(axis=1)
+            x = n * STEP / crowd * np.exp(-slack / TEMPERATURE)
+            pressure += self.per_length(which, x) / n
+            if 2 * k >= rounds:  # those at early prices are forgotten
+                rows.append(filled)
+                amounts.append(x)
+        width = max(r.shape[1] for r in rows)
+        return np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows]), np.concatenate(amounts)
+
+    def solve(self, rounds: int = ROUNDS, phases: int = PHASES, gap: float = GAP) -> "Program":
+        """Phases until the fractional value is within ``gap`` of the bound.
+
+        Each phase adds amounts of tight configurations that cover nothing more
+        than it occurs; the value counts the rest at what this phase's own
+        configurations need to cover it.
+        """
+        for _ in range(phases):
+            rows, x = self.phase(rounds)
+            which = self.at[rows]
+            tight = np.append(self.prices, 0.0)[which].sum(axis=1) >= 1 - TIGHT
+            held = sum(self.amount.values())
+            level = self.per_length(which, x) / np.maximum(self.rest, 1e-12)
+            completion = float((x / np.append(level, np.inf)[which].min(axis=1)).sum())
+            self.value = min(self.value, held + completion)
+            rows, which, x = rows[tight], which[tight], x[tight]
+            if len(x):
+                level = self.per_length(which, x) / np.maximum(self.rest, 1e-12)
+                x = x / np.append(level, 0.0)[which].max(axis=1)
+                self.rest = np.maximum(self.rest - self.per_length(which, x), 0.0)
+                for row, k, v in zip(rows.tolist(), (rows > 0).sum(axis=1).tolist(), x.tolist()):
+                    key = tuple(row[:k])
+                    self.amount[key] = self.amount.get(key, 0.0) + v
+            # what is left, each length by itself
+            alone = float((self.rest / (self.capacity // self.lengths)).sum())
+            self.value = min(self.value, sum(self.amount.values()) + alone)
+            if self.value <= self.bound * (1 + gap):
+                break
+        return self
+
+
+def rounded(amount: dict[tuple, float], left: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences: amounts rounded down, then up, largest fractions first, while supplies last.
+
+    ``left`` is the supply by length; what is used is taken from it.
+    """
+    plan: dict[tuple, int] = {}
+    counts = {c: [(l, c.count(l)) for l in dict.fromkeys(c)] for c in amount}
+
+    def use(c: tuple, times: int) -> None:
+        for l, k in counts[c]:
+            left[l] -= k * times
+        plan[c] = plan.get(c, 0) + times
+
+    for c, x in amount.items():
+        times = min(int(x + 1e-9), min(int(left[l]) // k for l, k in counts[c]))
+        if times > 0:
+            use(c, times)
+    for c, x in sorted(amount.items(), key=lambda p: (int(p[1]) - p[1], p[0])):
+        if all(left[l] >= k for l, k in counts[c]):
+            use(c, 1)
+    return [(dict(counts[c]), n) for c, n in plan.items()]
 
 
 def best_fit(lengths: list[int], supply: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -117,32 +282,33 @@ def best_fit(lengths: list[int], supply: dict[int, int], capacity: int) -> list[
     return [(dict(p), n) for group in by_room.values() for p, n in group.items()]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(configuration, sequences) pairs that use each length exactly as often as it occurs."""
-    plan: list[tuple[dict[int, int], int]] = []
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, gap: float = GAP) -> Solution:
+    """A plan that uses each length exactly as often as it occurs, with the bound of the linear program."""
     full = histogram.get(capacity, 0)
-    if full:
-        plan.append(({capacity: 1}, full))
-    lengths = np.array(sorted(l for l, n in histogram.items() if 0 < l < capacity and n > 0), np.int64)
-    total = np.array([histogram[l] for l in lengths.tolist()], np.int64)
-    left = total.copy()
-    base = (lengths / capacity) ** BIG_FIRST
-    for _ in range(rounds if len(lengths) else 0):
-        live = np.flatnonzero(left)
-        if not len(live):
+    plan: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
+    left = np.zeros(capacity + 1, np.int64)
+    for l, n in histogram.items():
+        if 0 < l < capacity:
+            left[l] = n
+    out = Solution(plan, float(full), float(full), full=full)
+    for stage in range(STAGES):
+        lengths = np.flatnonzero(left)
+        if not len(lengths):
+            break
+        program = Program(lengths, left[lengths], capacity).solve(rounds, MORE_PHASES if stage else PHASES, gap)
+        if stage == 0:
+            out.lower_bound, out.fractional = full + program.bound, full + program.value
+        out.rounds += program.rounds
+        whole = rounded(program.amount, left)
+        out.stages.append((sum(n for _, n in whole), int(left.sum())))
+        out.from_program += out.stages[-1][0]
+        plan += whole
+        if out.stages[-1][0] < 0.01 * out.from_program:
             break
-        weight = np.exp(-DECAY * (1 - left[live] / total[live]))
-        counts = best_configuration(lengths[live], base[live] * weight, left[live], capacity)
-        used = counts > 0
-        if not used.any() or counts @ lengths[live] < 0.98 * capacity:
-            break  # no configuration is full at these prices: the rest is for best fit
-        times = int((left[live][used] // counts[used]).min())
-        # a share of what is possible, so that weights move before a length runs out
-        times = max(1, times // 2)
-        plan.append(({int(l): int(c) for l, c in zip(lengths[live][used], counts[used])}, times))
-        left[live] -= counts * times
-    plan += best_fit(lengths.tolist(), dict(zip(lengths.tolist(), left.tolist())), capacity)
-    return plan
+    rest = best_fit(np.flatnonzero(left).tolist(), {int(l): int(left[l]) for l in np.flatnonzero(left)}, capacity)
+    out.from_best_fit = sum(n for _, n in rest)
+    plan += rest
+    return out
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
@@ -166,32 +332,34 @@ def place(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.n
     return row[:, 3] + nth // row[:, 2], row[:, 4] + nth % row[:, 2] * length
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
+def ranked(pieces: DataFrame, total: int) -> DataFrame:
     """Adds ``rank``: the piece's place among those of its length, from 0.
 
-    Pieces of one length are dealt into groups by a hash, ranked there, and the
-    groups' sizes give each group's first rank, so a length that holds a third
-    of all pieces is ranked by many tasks.
+    Pieces of one length are dealt into groups by a hash of the row, ranked there,
+    and the groups' sizes give each group's first rank, so a length that holds a
+    third of all pieces is ranked by many tasks, equal rows included.
     """
-    groups = max(16, math.ceil(pieces.count() / RANK_GROUP))
-    keyed = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    groups = max(16, math.ceil(total / RANK_GROUP))
+    keyed = pieces.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
     sizes = keyed.groupBy("length", "grp").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "grp").orderBy("row")
     return (
         keyed.withColumn("nth", F.row_number().over(within) - 1)
         .join(sizes, ["length", "grp"])
         .withColumn("rank", F.col("base") + F.col("nth"))
-        .drop("grp", "nth", "base")
+        .drop("grp", "nth", "base", "row")
     )
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """One row per piece with its sequence and offset; see the module's text."""
-    pieces = materialise(document_pieces(docs, tokenizer_path, capacity), "pieces")
+    pieces = materialise(document_pieces(docs, tokenizer_path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = pieces.sparkSession.sparkContext.broadcast(slots(solve(histogram, capacity, rounds)))
+    solution = solve(histogram, capacity, rounds)
+    LOG.info("%d sequences, bound %.1f, fractional %.1f, %d from the program, %d from best fit, %d full", solution.sequences, solution.lower_bound, solution.fractional, solution.from_program, solution.from_best_fit, solution.full)
+    table = pieces.sparkSession.sparkContext.broadcast(slots(solution.plan))
 
     def run(batches):
         for b in batches:
@@ -203,4 +371,4 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked(pieces).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
+    return ranked(pieces, sum(histogram.values())).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")

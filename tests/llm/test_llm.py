@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -290,6 +291,50 @@ def test_packing(spark, docs):
     assert len(by_sequence) <= 1.02 * sum(map(len, want.values())) / 256 + 1
 
 
+def fewest(counts: dict, capacity: int) -> int:
+    """The optimum by search over all ways to fill a sequence."""
+    lengths = sorted(counts, reverse=True)
+
+    @lru_cache(None)
+    def best(left: tuple) -> int:
+        if not any(left):
+            return 0
+        first = next(i for i, n in enumerate(left) if n)  # the longest piece left is in some sequence
+
+        def fill(i: int, room: int, now: tuple) -> int:
+            if i == len(lengths):
+                return 1 + best(now)
+            return min(fill(i + 1, room - k * lengths[i], (*now[:i], now[i] - k, *now[i + 1 :])) for k in range(min(now[i], room // lengths[i]) + 1))
+
+        return fill(0, capacity - lengths[first], (*left[:first], left[first] - 1, *left[first + 1 :]))
+
+    return best(tuple(counts[l] for l in lengths))
+
+
+def test_configuration_program_against_the_optimum():
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        counts = {int(l): int(rng.integers(1, 6)) for l in rng.choice(np.arange(10, 70), 4, replace=False)}
+        s = packing.solve(counts, 100)
+        optimum = fewest(counts, 100)
+        assert s.lower_bound <= optimum + 1e-6 and optimum <= s.sequences <= optimum + 1
+        used = Counter()
+        for c, n in s.plan:
+            assert sum(l * k for l, k in c.items()) <= 100
+            used.update({l: k * n for l, k in c.items()})
+        assert used == counts
+    # best fit is far from the optimum here, the program is not
+    s = packing.solve({700: 500, 650: 400, 900: 300})
+    assert s.sequences == 500 and s.from_program >= 490 and s.fractional <= 1.02 * s.lower_bound
+    assert sum(n for _, n in packing.best_fit([900, 700, 650], {700: 500, 650: 400, 900: 300}, 2048)) > 530
+
+
+def test_program_places_most_sequences(spark):
+    pieces = packing.document_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    s = packing.solve({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()})
+    assert s.from_program >= 0.9 * (s.sequences - s.full) and s.sequences <= s.lower_bound + 2 and s.fractional <= 1.05 * s.lower_bound
+
+
 def test_chat_accuracy_and_long_conversation(spark, monkeypatch):
     out = Q.op1_chat_format(spark, SF).collect()
     held = [r for r in out if r["held_out"]]
