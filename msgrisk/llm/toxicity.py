@@ -2,13 +2,19 @@
 
 Sentences are the instances, documents the bags. A sentence's score is logistic
 in hashed features of its words (the word, its beginnings, its four-letter
-pieces); a document's score is the noisy-or of its sentences. Only document
+pieces), less the logarithm of the number of sentences of its document, so that
+a document's prior does not grow with its length; a document's score is the
+noisy-or of its sentences. Training and scoring use the same rule. Only document
 labels are learned from: the gradient of the document's loss through the
 noisy-or trains the sentence scores, which then locate the offending sentences.
 
-Edge cases: a null, empty or word-less text has one sentence score, that of the bias; a null label is never learned from; repeated labels of a document count
-once, a conflict as toxic; repeated rows are scored each for itself; with no
-labels of both classes every score is 0; an empty table gives an empty result.
+Edge cases: a null, empty or word-less text has one sentence score, that of the
+bias; a text of any length is scored whole, and is as likely as a short one to
+be drawn for training; a null label is never learned from; repeated labels of a
+document count once, a conflict as toxic; an id with several texts lends its
+label to each; repeated rows are scored each for itself; with no labels of both
+classes every score is 0; other columns of either table are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +29,10 @@ from pyspark.sql import functions as F
 from msgrisk.llm.common import fold, fold_col, map_rows, sigmoid
 
 SAMPLE_DOCS = 1500  # labelled documents of each class to learn from
-SAMPLE_CHARS = 20_000  # longer documents are left out of the sample (never of the scoring)
+SAMPLE_CHARS = 40_000_000  # characters of all of them together, in expectation
 FEATURES = 1 << 18
 STEPS = 200
 SHRINK = 0.002  # of every weight at every step
-FLOOR = 0.05  # sentence scores below it do not add up over a long document
 SENTENCE_ENDS = re.compile(rb"[.!?\n]+")
 PUNCTUATION = b",;:\"'()[]{}*#$%&|<>-"
 CACHE_WORDS = 400_000
@@ -37,7 +42,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentence
 def features(word: bytes) -> list[int]:
     """Hashed features of a word; a few repeated hashes do no harm."""
     w = b"^" + word + b"$"
-    parts = {b"w" + w} | {b"b" + w[:k] for k in (4, 5, 6, 7) if len(w) > k} | {b"g" + w[i : i + 4] for i in range(min(len(w), 40) - 3)}
+    parts = {b"w" + w} | {b"b" + w[:k] for k in (4, 5, 6, 7) if len(w) > k} | {b"g" + w[i : i + 4] for i in range(len(w) - 3)}
     return [zlib.crc32(p) % FEATURES for p in sorted(parts)]
 
 
@@ -75,15 +80,15 @@ class Detector:
                 v = get(w)
                 total += word(w) if v is None else v
             z.append(total)
-        return sigmoid(np.array(z if z else [self.bias]))
+        z = np.array(z if z else [self.bias])
+        return sigmoid(z - np.log(len(z)))
 
     def __call__(self, text: str | None) -> tuple[float, np.ndarray]:
         """Document score and sentence scores."""
         if self.weights is None:
             return 0.0, np.zeros(0)
         p = self.sentence_scores(sentences(text))
-        high = p[p >= FLOOR]
-        return (float(1 - np.exp(np.log1p(-np.minimum(high, 1 - 1e-12)).sum())) if len(high) else float(p.max())), p
+        return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), p
 
 
 def fit(rows: list[tuple[int, str]], steps: int = STEPS) -> Detector:
@@ -102,19 +107,20 @@ def fit(rows: list[tuple[int, str]], steps: int = STEPS) -> Detector:
     feats = [features(w) for w in vocab]
     flat = np.array([f for fs in feats for f in fs])
     owner = np.repeat(np.arange(len(vocab)), [len(f) for f in feats])
-    w, bias = np.zeros(FEATURES), -6.0
+    prior = -np.log(np.bincount(doc)[doc])  # of a sentence, by how many its document has
+    w, bias = np.zeros(FEATURES), -4.0
     g2, gb2 = np.full(FEATURES, 1e-6), 1e-6
     balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     for step in range(steps):
         value = np.bincount(owner, w[flat], len(vocab))
-        z = np.clip(np.bincount(sent, value[word], len(doc)) + bias, -30, 30)
+        z = np.clip(np.bincount(sent, value[word], len(doc)) + bias + prior, -30, 30)
         p = sigmoid(z)
         none = np.exp(np.bincount(doc, -np.logaddexp(0, z), len(y)))  # probability that no sentence is toxic
         any_ = np.maximum(1 - none, 1e-9)
         factor = np.where(y == 1, -none / any_, 1.0) * balance / len(y)
         dz = p * factor[doc]
         gw = np.bincount(word, dz[sent], len(vocab))
-        grad = np.bincount(flat, gw[owner], FEATURES) 
+        grad = np.bincount(flat, gw[owner], FEATURES)
         gb = dz.sum()
         g2 += grad * grad
         gb2 += gb * gb
@@ -124,26 +130,28 @@ def fit(rows: list[tuple[int, str]], steps: int = STEPS) -> Detector:
     return Detector(w.astype(np.float32), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from=None, sample_docs: int = SAMPLE_DOCS) -> Detector:
-    """Fit on about ``sample_docs`` labelled documents of each class, picked by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, learn_from=None, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Detector:
+    """Fit on about ``sample_docs`` labelled documents of each class, picked by a hash of the id.
+
+    The sample is smaller if documents are so long that it would hold more than
+    ``sample_chars`` characters; all lengths are drawn alike.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.filter(learn_from) if learn_from is not None else known
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not sizes:
+        return fit([])
+    mean = slim.agg(F.avg(F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0.0
+    sample_docs = max(1, min(sample_docs, int(sample_chars / (len(sizes) * max(1.0, mean)))))
     limit = F.lit(0)
     for y, n in sizes.items():
         limit = F.when(F.col("toxic") == y, int(1_000_000 * min(1.0, sample_docs / n))).otherwise(limit)
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit).limit(4 * sample_docs)
     # at most 4 * sample_docs rows of two numbers: small enough to broadcast at any input size
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .filter(F.length("text") <= SAMPLE_CHARS)
-        .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "toxic", "text")
-        .limit(8 * sample_docs)
-        .collect()
-    )
-    return fit([(int(r["toxic"] > 0), r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    rows = slim.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").distinct().limit(4 * sample_docs).collect()
+    return fit([(int(r["toxic"] > 0), r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
 
 
 def spans_of(text: str, scores: np.ndarray) -> list[dict]:
