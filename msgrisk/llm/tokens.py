@@ -99,6 +99,12 @@ class WordCodec:
         for w, e in zip(rest, self.batch(rest, add_special_tokens=False)):
             cache[w] = array("I", e.ids).tobytes()
 
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words of lower-case letters only, one word to the tokenizer each."""
+        held = self.cache
+        self._learn([w for w in words if w not in held])
+        return [self.cache.get(w) or held[w] for w in words]
+
     @staticmethod
     def prepared(text: str | None) -> bytes | None:
         """The text with lone marks set apart by spaces; None if it must be encoded whole."""

@@ -205,20 +205,87 @@ def test_lm(spark, rows):
         assert out[d]["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
         assert (out[d]["n_tokens"], out[d]["n_known"], out[d]["train_tokens"]) == (len(ws), sum(count[w] > 0 for w in ws), n)
         assert out[d]["score"] < 0
-    rng = np.random.default_rng(0)
-    net = lm.Attention(5, rng, 20, 6)
-    net.p = {k: p.astype(float) for k, p in net.p.items()}
-    past, y = rng.integers(1, 20, (40, 5)), rng.integers(1, 20, 40)
-    past[:9, 2:] = 0
-    _, g = net.gradients(past, y)
-    for k, p in net.p.items():
-        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
-        p[at] += 1e-5
-        up, _ = net.gradients(past, y)
-        p[at] -= 2e-5
-        down, _ = net.gradients(past, y)
-        p[at] += 1e-5
-        assert (up - down) / 2e-5 == pytest.approx(g[k][at], abs=1e-5)
+
+
+def small_model():
+    path = tokens.vocabulary_path()
+    texts = [["the", "house,", "by", "the", "river", "überall", "日本", "xyzzyq."], ["a", "river"], []]
+    head = sorted(Counter(w for t in texts for w in t).items())
+    model = lm.Model(lm.Words(path, lm.id_counts(path, head)))
+    return path, texts, head, model.fit(texts * 3)
+
+
+def test_lm_gradients():
+    _, texts, _, model = small_model()
+    for net, (past, target, weight) in zip(model.nets, model.examples(texts)):
+        net.p = {k: p.astype(float) for k, p in net.p.items()}
+        _, g = net.gradients(past, target, weight)
+        for k, p in net.p.items():
+            at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+            p[at] += 1e-5
+            up, _ = net.gradients(past, target, weight)
+            p[at] -= 2e-5
+            down, _ = net.gradients(past, target, weight)
+            p[at] += 1e-5
+            assert (up - down) / 2e-5 == pytest.approx(g[k][at], abs=1e-5)
+
+
+def test_lm_scores_each_id_once_as_a_full_mask_does():
+    """One text, id by id, with an explicit mask over all ids before it, against the batched windows."""
+    path, texts, head, model = small_model()
+    enc = tokens.codec(path).tokenizer
+
+    def attend(net, slots, i, visible):
+        """ln P of slots[i] with a mask over the ids before it."""
+        p = {k: x.astype(float) for k, x in net.p.items()}
+        near = slots[i - 1] if i and visible[i - 1] else 0
+        score, value = [], []
+        for j in range(len(slots)):
+            back = i - 1 - j
+            if 0 <= back < net.window and visible[j]:
+                score.append(p["q"][near] @ p["k"][slots[j]] / math.sqrt(lm.KEYS) + p["r"][back])
+                value.append(p["v"][slots[j]])
+        if not score:
+            score, value = [0.0], [p["v"][0]]
+        a = np.exp(np.array(score) - max(score))
+        h = p["u"][near] + (a / a.sum()) @ np.array(value)
+        g = h + np.maximum(h @ p["a"], 0) @ p["b"]
+        c, m = divmod(slots[i], lm.MEMBERS)
+        zc, zm = g @ p["oc"] + p["bc"], p["om"][c] @ g + p["bm"][c]
+        return zc[c] - np.log(np.exp(zc).sum()) + zm[m] - np.log(np.exp(zm).sum())
+
+    for text in ("The house, by überall xyzzyq. river 日本 the", "", "a"):
+        ws = text.lower().split()
+        want, flat = 0.0, []
+        for w in [*ws, None]:
+            ids = enc.encode(w, add_special_tokens=False).ids if w else []
+            slots = [int(model.words.slot[x]) for x in ids]
+            line = flat + (slots[:1] or [lm.END])
+            want += attend(model.nets[0], line, len(line) - 1, [True] * len(line))
+            if w:
+                own = slots + [lm.END]
+                want += sum(attend(model.nets[1], own, i, [True] * len(own)) for i in range(1 if slots else 0, len(own))) + sum(model.words.share[x] for x in ids)
+            flat += slots
+        got = lm.Scorer(model, dict(head), 100, 10, 3)([text, "the river"])
+        assert got[3][0] * math.log(10) == pytest.approx(want, rel=1e-4)
+    # a proper model: the classes and their members add up to one
+    net = model.nets[0]
+    past = model.examples(texts)[0][0][:, :3]
+    assert sum(np.exp(net.log_probability(past, np.full(3, s))) for s in range(lm.SLOTS)) == pytest.approx(np.ones(3), rel=1e-4)
+
+
+def test_lm_beats_the_base_on_held_out_texts():
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.1/documents.parquet' order by doc_id").fetchall()
+    held = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 == 2][:300]
+    texts = [t.lower().split() for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    count = Counter(w for ws in texts for w in ws)
+    n, v = sum(count.values()) + len(texts), len(count) + 1
+    head = count.most_common(lm.HEAD_WORDS)
+    path = tokens.vocabulary_path()
+    model = lm.Model(lm.Words(path, lm.id_counts(path, head))).fit([ws[: lm.SAMPLE_DOC_WORDS] for ws in texts[: lm.SAMPLE_DOCS]])
+    size, _, _, score, _ = lm.Scorer(model, dict(head), n, v, len(texts))(held)
+    base = sum(math.log10((c + 1) / (n + v + 1)) for t in held for c in [*(count[w] for w in t.lower().split()), len(texts)])
+    assert score.sum() / size.sum() > base / size.sum() + 0.1
 
 
 def test_language_and_toxicity_held_out(spark):
