@@ -10,16 +10,20 @@ conversations of the whole table; only the counts, of bounded size, reach the
 driver. Viterbi finds the likeliest states; each run of lines is rendered as
 ``<|role|>\\n...`` with the markers removed and ``<|end|>\\n`` after each turn.
 
-A conversation may be of any length. Parts are grouped in chunks of
-``CHUNK_PARTS``; a chunk is summed up as a table of best scores from each entry
-to each exit state (max-plus products are associative), one pass over these
-tables fixes the states at the chunk borders, and the chunks are decoded
-independently. No task ever holds the lines of a whole conversation.
+A conversation may be of any length and its parts may bear any numbers. Rows are
+sorted over the cluster by conversation, part and text (and a hash of the row, so
+that equal rows are spread as well) in ranges, and each range is cut into chunks
+of at most ``CHUNK_ROWS`` rows of one conversation. A chunk is summed up as a
+table of best scores from each entry to each exit state (max-plus products are
+associative), one pass over these tables fixes the states at the chunk borders,
+and the chunks are decoded independently. No task ever holds the lines of a whole
+conversation; the pass over the tables holds seven small numbers a chunk.
 
 Edge cases: a null text is one blank line; a null role is never learned from; a
-null part counts as part -1, parts with equal numbers are ordered by text; a null
-conv_id is a conversation of its own; repeated rows are parts of their own; an
-empty table gives an empty result.
+null part counts as part -1, parts with equal numbers are ordered by text; all
+rows with a null conv_id are one conversation; repeated rows are parts of their
+own; a text of any length is one part, read whole; other columns are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from msgrisk.llm.common import map_rows, materialise
 
 ROLES = ("system", "user", "assistant")
 STATES = len(ROLES) * 2  # role * 2 + (0 first line of a turn, 1 later)
 START = STATES
-CHUNK_PARTS = 512
+CHUNK_ROWS = 512
 SMOOTH = 0.1
 
 MARKERS = (
@@ -47,7 +53,7 @@ MARKERS = (
 )
 CODES = 5 * 2 * 2 * 2 * 4
 
-TURNS = "conv_id long, part long, seg int, role string, begins boolean, n_lines int, text string, rendered string"
+TURNS = "conv_id long, part long, seg int, role string, begins boolean, n_lines int, text string, rendered string, known_role string"
 
 
 def observe(lines: list[str]) -> tuple[list[int], list[str]]:
@@ -177,61 +183,86 @@ def render(path: list[int], bare: list[str], first: bool) -> list[tuple]:
     return rows
 
 
+def sorted_chunks(parts: DataFrame) -> DataFrame:
+    """The parts in order, written once, with ``chunk`` and ``pos``: numbers that grow along each conversation."""
+    order = [F.col("conv_id").asc_nulls_first(), F.col("part"), F.col("text").asc_nulls_first(), F.col("salt")]
+    salted = parts.withColumn("salt", F.rand(7))
+    dealt = salted.repartitionByRange(*order).sortWithinPartitions(*order).drop("salt")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("chunk", T.LongType()), T.StructField("pos", T.IntegerType())])
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        chunk, pos, last = (TaskContext.get().partitionId() << 33) - 1, CHUNK_ROWS, ()
+        for b in batches:
+            chunks, places = [], []
+            for conv in b.column(0).to_pylist():
+                if pos >= CHUNK_ROWS or last != (conv,):
+                    chunk, pos, last = chunk + 1, 0, (conv,)
+                chunks.append(chunk)
+                places.append(pos)
+                pos += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int64()), pa.array(places, pa.int32())], names=schema.names)
+
+    return materialise(dealt.mapInArrow(cut, schema), "chunks")
+
+
 def format_chat(transcripts: DataFrame, learn_from=None) -> DataFrame:
     """One row per run of lines of a turn, in the order of conv_id, part, seg.
 
     A turn that goes on in the next part has ``begins`` false there. The
     ``rendered`` texts of a conversation, concatenated in order, with a last
-    ``<|end|>\\n``, are its canonical form.
+    ``<|end|>\\n``, are its canonical form. ``known_role`` is the role the part
+    came with; it takes no part in decoding.
     """
     spark = transcripts.sparkSession
     parts = materialise(parts_of(transcripts), "parts")
     model = spark.sparkContext.broadcast(train(parts, learn_from))
-    chunked = parts.withColumn("chunk", F.floor(F.col("part") / CHUNK_PARTS).cast("long")).withColumn("anyconv", F.coalesce("conv_id", F.lit(-(2**63))))
-    order = ["anyconv", "chunk", "part", "text"]
-    dealt = chunked.repartition("anyconv", "chunk").sortWithinPartitions(*order)
+    rows = sorted_chunks(parts)
 
     def sum_up(batches):
-        for (conv, chunk), rows in groups_of(batches, 2):
-            table = model.value.table([c for r in rows for c in r[2]])
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([chunk], pa.int64()), pa.array([table.ravel().tolist()], pa.list_(pa.float64()))], names=["anyconv", "chunk", "best"])
+        for (chunk,), group in groups_of(batches, 1):
+            table = model.value.table([c for r in group for c in r[2]])
+            yield pa.RecordBatch.from_arrays([pa.array([group[0][1]], pa.int64()), pa.array([chunk], pa.int64()), pa.array([table.ravel().tolist()], pa.list_(pa.float64()))], names=["conv_id", "chunk", "best"])
 
     def borders(batches):
         """Entry and exit state of each chunk; holds one small table per chunk of a conversation."""
-        for (conv,), rows in groups_of(batches, 1):
+        for _, group in groups_of(batches, 1):
             score = np.full(STATES + 1, -np.inf)
             score[START] = 0
             back = []
-            for _, _, best in rows:
+            for _, _, best in group:
                 step = score[:, None] + np.array(best).reshape(STATES + 1, STATES)
-                back.append(step.argmax(axis=0))
+                back.append(step.argmax(axis=0).astype(np.int8))
                 score = np.append(step.max(axis=0), -np.inf)
             leave = [int(score[:STATES].argmax())]
             for b in reversed(back):
                 leave.append(int(b[leave[-1]]))
             leave.reverse()  # entry of the first, then the exits
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([conv] * n, pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(leave[:-1], pa.int32()), pa.array(leave[1:], pa.int32())], names=["anyconv", "chunk", "enter", "leave"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in group], pa.int64()), pa.array(leave[:-1], pa.int32()), pa.array(leave[1:], pa.int32())], names=["chunk", "enter", "leave"])
+
+    by_chunk = lambda df: df.repartition("chunk").sortWithinPartitions("chunk", "pos")
+    tables = by_chunk(rows.select("chunk", "conv_id", "codes", "pos")).mapInArrow(sum_up, "conv_id long, chunk long, best array<double>")
+    by_conv = tables.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "chunk")
+    ends = materialise(by_conv.mapInArrow(borders, "chunk long, enter int, leave int"), "borders")
+    joined = rows.join(ends, "chunk").select("chunk", "pos", "conv_id", "part", "text", "codes", "enter", "leave", "role")
 
-    tables = dealt.select("anyconv", "chunk", "codes").mapInArrow(sum_up, "anyconv long, chunk long, best array<double>")
-    ends = materialise(tables.repartition("anyconv").sortWithinPartitions("anyconv", "chunk").mapInArrow(borders, "anyconv long, chunk long, enter int, leave int"), "borders")
-    joined = chunked.join(ends, ["anyconv", "chunk"]).select("anyconv", "chunk", "conv_id", "part", "text", "codes", "enter", "leave")
+    arrow = to_arrow_schema(T._parse_datatype_string(TURNS))
 
     def decode(batches):
-        arrow = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("seg", pa.int32()), ("role", pa.string()), ("begins", pa.bool_()), ("n_lines", pa.int32()), ("text", pa.string()), ("rendered", pa.string())])
-        for _, rows in groups_of(batches, 2):
-            path = model.value.decode([c for r in rows for c in r[5]], rows[0][6], rows[0][7])
+        for _, group in groups_of(batches, 1):
+            path = model.value.decode([c for r in group for c in r[5]], group[0][6], group[0][7])
             out, at, last, seg = [], 0, None, 0
-            for r in rows:
+            for r in group:
                 k = len(r[5])
                 seg = seg if r[3] == last else 0
                 for row in render(path[at : at + k], observe((r[4] or "").split("\n"))[1], at == 0 and r[6] == START):
-                    out.append((r[2], r[3], seg, *row))
+                    out.append((r[2], r[3], seg, *row, r[8]))
                     seg += 1
                 at, last = at + k, r[3]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return joined.repartition("anyconv", "chunk").sortWithinPartitions(*order).mapInArrow(decode, TURNS)
+    return by_chunk(joined).mapInArrow(decode, TURNS)
 
 
 def transcripts_from(conversations: DataFrame) -> DataFrame:

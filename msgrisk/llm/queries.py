@@ -11,11 +11,8 @@ from msgrisk.llm.common import fold_col, table
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of every line of every conversation, learned where crc32(conv_id as text) mod 5 is not 0."""
-    conversations = table(spark, sf_dir, "conversations")
-    known = conversations.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_p"), F.col("role").alias("role_true")).dropDuplicates(["_c", "_p"])
-    out = chat.format_chat(chat.transcripts_from(conversations), fold_col("conv_id", 5) != 0)
-    out = out.join(known, (F.col("conv_id") == F.col("_c")) & (F.col("part") == F.col("_p")), "left")
-    return out.select("conv_id", F.col("part").alias("turn"), "seg", "role", "begins", "n_lines", "rendered", "role_true", (fold_col("conv_id", 5) == 0).alias("held_out"))
+    out = chat.format_chat(chat.transcripts_from(table(spark, sf_dir, "conversations")), fold_col("conv_id", 5) != 0)
+    return out.withColumnRenamed("part", "turn").withColumnRenamed("known_role", "role_true").withColumn("held_out", fold_col("conv_id", 5) == 0).drop("text")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

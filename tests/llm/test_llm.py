@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -402,17 +403,48 @@ def test_program_places_most_sequences(spark):
     assert s.from_program >= 0.9 * (s.sequences - s.full) and s.sequences <= s.lower_bound + 2 and s.fractional <= 1.05 * s.lower_bound
 
 
-def test_chat_accuracy_and_long_conversation(spark, monkeypatch):
-    out = Q.op1_chat_format(spark, SF).collect()
+def best_path(model, codes):
+    """The likeliest states by search over all paths, for short lists of lines."""
+    best = None
+    for path in product(range(chat.STATES), repeat=len(codes)):
+        score = sum(model.move[a, b] + model.emit[b, c] for a, b, c in zip((chat.START, *path), path, codes))
+        if best is None or score > best[0]:
+            best = (score, path)
+    return list(best[1])
+
+
+def test_chat_against_all_paths_and_on_lines_without_markers(spark):
+    parts = chat.parts_of(chat.transcripts_from(spark.read.parquet(f"{SF}/conversations.parquet")))
+    model = chat.train(parts)
+    codes = [c for r in parts.orderBy("conv_id", "part").limit(40).collect() for c in r["codes"]]
+    for at in range(0, 40, 5):
+        some = codes[at : at + 5]
+        path = model.decode(some, chat.START)
+        score = lambda p: sum(model.move[a, b] + model.emit[b, c] for a, b, c in zip((chat.START, *p), p, some))
+        assert score(path) == pytest.approx(score(best_path(model, some)))
+    out = Q.op1_chat_format(spark, "/root/testdata/sf0.1").collect()
+    raw = {(r["conv_id"], r["part"]): r["text"] for r in chat.transcripts_from(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")).collect()}
     held = [r for r in out if r["held_out"]]
     assert sum(r["role"] == r["role_true"] for r in held) / len(held) > 0.95
-    parts = spark.createDataFrame([(1, i, ("User: " if i % 3 == 0 else "Bot: " if i % 3 == 1 else "") + f"line {i}?", ("user", "assistant", "assistant")[i % 3]) for i in range(120)], "conv_id long, part long, text string, role string")
+    plain = [r for r in held if not any(p.match(line) for line in raw[r["conv_id"], r["turn"]].split("\n") for _, p in chat.MARKERS)]
+    right = sum(r["role"] == r["role_true"] for r in plain) / len(plain)
+    # always naming the commonest role of these lines would be the alternative
+    assert len(plain) >= 15 and right > max(Counter(r["role_true"] for r in plain).values()) / len(plain) and right > 0.6, right
+
+
+def test_long_conversations_in_chunks(spark, monkeypatch):
+    parts = spark.createDataFrame([(1, i, ("User: " if i % 3 == 0 else "Bot: " if i % 3 == 1 else "") + f"line {i}?", ("user", "assistant", "assistant")[i % 3], "x") for i in range(120)], "conv_id long, part long, text string, role string, chunk string")
     results = []
     for size in (512, 7):  # one chunk, many chunks: the same path
-        monkeypatch.setattr(chat, "CHUNK_PARTS", size)
+        monkeypatch.setattr(chat, "CHUNK_ROWS", size)
         results.append([(r["part"], r["seg"], r["role"], r["begins"], r["rendered"]) for r in chat.format_chat(parts).orderBy("part", "seg").collect()])
     assert results[0] == results[1]
     assert results[0][0][4].startswith("<|user|>\n")
+    monkeypatch.undo()
+    same = spark.range(20_000).selectExpr("cast(null as long) as conv_id", "5L as part", "'User: hello' as text", "'user' as role")
+    chunks = chat.sorted_chunks(chat.parts_of(same))
+    assert chunks.groupBy("chunk").count().agg(F.max("count")).first()[0] <= 512
+    assert chat.format_chat(same).count() == 20_000
 
 
 def test_edge_cases(spark):
