@@ -10,6 +10,9 @@ from msgrisk.functions.canonical import canonical
 from msgrisk.functions.urls import Suffixes, deceptive, hosts, official, url_pattern
 
 
+TMP = "msgrisk_tmp_"  # of column names that exist within a function only
+
+
 def has(text: Column, pattern: str) -> Column:
     return text.rlike(L.ignoring_case(pattern))
 
@@ -30,8 +33,9 @@ def requested(lower: Column, words: list[str], needs_cue: bool) -> Column:
 
 
 def shortcode(text: Column) -> Column:
-    cue = r"\b(?:" + "|".join(L.CONTACT_CUES) + r")\b[\s:,\-]{0,22}"
-    return has(text, cue + L.SHORTCODE)
+    """A code right after a cue word; cue and gap together take at most ``CUE_WINDOW`` characters."""
+    cues = "|".join(rf"{c}\b[\s:,\-]{{0,{L.CUE_WINDOW - len(c)}}}" for c in L.CONTACT_CUES)
+    return has(text, rf"\b(?:{cues})" + L.SHORTCODE)
 
 
 def passive_device_change(low: Column) -> Column:
@@ -67,28 +71,32 @@ def mentioned(signal: str, raw: Column) -> Column:
 
 
 def with_canonical(df: DataFrame, suffixes: Suffixes, text: str = "text", is_canonical: bool = False) -> DataFrame:
-    """Adds _canon, _low and _hosts in projections of their own, so that twenty signals share them."""
-    df = df.withColumn("_canon", F.col(text) if is_canonical else canonical(F.col(text)))
-    return df.withColumn("_low", F.lower("_canon")).withColumn("_hosts", hosts(F.col("_canon"), suffixes))
+    """Adds the canonical text, its lower case and its hosts under names with TMP, in projections of their own, so that twenty signals share them."""
+    df = df.withColumn(f"{TMP}canon", F.col(text) if is_canonical else canonical(F.col(text)))
+    return df.withColumn(f"{TMP}low", F.lower(f"{TMP}canon")).withColumn(f"{TMP}hosts", hosts(F.col(f"{TMP}canon"), suffixes))
 
 
 def with_signals(df: DataFrame, suffixes: Suffixes, text: str = "text", is_canonical: bool = False, keep: bool = False) -> DataFrame:
-    """Adds the twenty signals as doubles; a null text gives null signals."""
+    """Adds the twenty signals as doubles; a null text gives null signals.
+
+    A column that bears a signal's name is replaced; all others are kept.
+    """
+    own = [c for c in df.columns if c not in L.SIGNALS]
     df = with_canonical(df, suffixes, text, is_canonical)
-    t, low, hs = F.col("_canon"), F.col("_low"), F.col("_hosts")
-    df = df.withColumn("_brand", has_any(low, L.BRANDS)).withColumn("_short", shortcode(t)).withColumn("_full", t.rlike(L.FULL_NUMBER))
-    df = df.withColumn("_off", F.exists(hs, official)).withColumn("_unoff", F.filter(hs, lambda h: ~official(h)))
-    un = F.col("_unoff")
+    t, low, hs = F.col(f"{TMP}canon"), F.col(f"{TMP}low"), F.col(f"{TMP}hosts")
+    df = df.withColumn(f"{TMP}brand", has_any(low, L.BRANDS)).withColumn(f"{TMP}short", shortcode(t)).withColumn(f"{TMP}full", t.rlike(L.FULL_NUMBER))
+    df = df.withColumn(f"{TMP}off", F.exists(hs, official)).withColumn(f"{TMP}unoff", F.filter(hs, lambda h: ~official(h)))
+    un = F.col(f"{TMP}unoff")
     brands = "|".join(L.quoted(b) for b in L.BRANDS)
     columns = {
-        "has_shortcode": F.col("_short"),
-        "has_full_number": F.col("_full"),
+        "has_shortcode": F.col(f"{TMP}short"),
+        "has_full_number": F.col(f"{TMP}full"),
         "has_url": t.rlike(url_pattern(suffixes)),
         "has_currency_amount": has(t, L.CURRENCY),
         "urgency_word_count": F.regexp_count(low, F.lit(L.any_word(L.URGENCY))),
         "requests_sensitive_credentials": requested(low, L.CREDENTIALS, True),
-        "brand_with_trusted_channel": F.col("_brand") & (F.col("_off") | F.col("_short")),
-        "brand_with_untrusted_channel": F.col("_brand") & ((F.size(un) > 0) | F.col("_full")),
+        "brand_with_trusted_channel": F.col(f"{TMP}brand") & (F.col(f"{TMP}off") | F.col(f"{TMP}short")),
+        "brand_with_untrusted_channel": F.col(f"{TMP}brand") & ((F.size(un) > 0) | F.col(f"{TMP}full")),
         "has_shortener_url": F.exists(hs, lambda h: h.isin(L.SHORTENERS)),
         "has_unofficial_url": F.size(un) > 0,
         "brand_lookalike_domain": F.exists(un, lambda h: h.rlike(brands)),
@@ -102,7 +110,7 @@ def with_signals(df: DataFrame, suffixes: Suffixes, text: str = "text", is_canon
         "ussd_embeds_msisdn": t.rlike(L.USSD_MSISDN),
         "has_transaction_reference": transaction_reference(t),
     }
-    kept = [c for c in df.columns if not c.startswith("_")] + (["_canon"] if keep else [])
+    kept = own + ([f"{TMP}canon"] if keep else [])
     return df.select(*kept, *(columns[n].cast("double").alias(n) for n in L.SIGNALS))
 
 

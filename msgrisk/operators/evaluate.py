@@ -74,6 +74,11 @@ def firing(df: DataFrame, signals: list[str], truth: Column) -> DataFrame:
     return df.agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
 
 
+def by_count(rates: DataFrame) -> DataFrame:
+    """Signals by how often they fire on positives, most often first, with their place; one row a signal."""
+    return rates.withColumn("place", F.row_number().over(Window.orderBy(F.col("on_positive").desc(), "signal"))).orderBy("place")
+
+
 def never_fired(rates: DataFrame) -> DataFrame:
     return rates.filter((F.col("on_positive") == 0) & (F.col("on_negative") == 0)).select("signal")
 

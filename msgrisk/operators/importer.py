@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgrisk.functions.lexicons import SOURCE_TYPES
 
 
+def read_import(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, text, sms_type) of a Parquet file with ``sms_text`` and ``smishing_type``; pos follows the file's order."""
+    raw = spark.read.parquet(path)
+    return raw.select(F.monotonically_increasing_id().alias("pos"), F.col("sms_text").alias("text"), F.col("smishing_type").alias("sms_type"))
+
+
 def first_of_each(df: DataFrame, key: str, position: str) -> DataFrame:
     """The first row of each key by position; the minimum is combined before the shuffle."""
     rest = [c for c in df.columns if c not in (key, position)]
@@ -56,6 +62,3 @@ def group_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 4
     last = list(shares)[-1]
     return df.withColumn("part", part.otherwise(last) if part is not None else F.lit(last))
 
-
-def rank_of_ids(df: DataFrame, by: str, *order: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

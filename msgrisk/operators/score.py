@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from msgrisk.functions.lexicons import SIGNAL_LABELS, SIGNALS
@@ -12,10 +12,12 @@ from msgrisk.functions.signals import MENTIONS, mentioned
 from msgrisk.functions.urls import Suffixes
 from msgrisk.operators.vectorize import featurised
 
+# Fixed values.
 LEGIT_MAX, FRAUD_MIN, BLOCK_MIN, LOW_CONFIDENCE = 0.4, 0.5, 0.8, 0.6
 REVIEW_LOW, REVIEW_HIGH = 0.4, 0.7
 MAX_BATCH_ROWS, MAX_CHARS = 500, 2000
-NOTE = "keyword mentioned, but not requested — stated as fact, or negated"
+# End of fixed values.
+NOTE = "the word occurs, but the message does not ask for it"
 
 
 def verdict(risk: Column) -> Column:
@@ -60,27 +62,62 @@ def top_tokens(contributions: DataFrame, key: str, k: int = 5) -> DataFrame:
 
 
 def classify(df: DataFrame, trained, suffixes: Suffixes) -> DataFrame:
-    """label, confidence, risk, verdict, risk_signals and top_tokens for each text."""
+    """label, confidence, risk, verdict, risk_signals and top_tokens for each text.
+
+    A null text has null for all of them, with verdict "Unscored". Columns of the
+    input keep their names and values, but those that bear a name of the result
+    are replaced.
+    """
     import numpy as np
 
     model, names = trained.model, trained.features.names
-    scored = model.scored(trained.features.transform(featurised(df, suffixes)))
+    slim = df.select(F.struct(*df.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    scored = model.scored(trained.features.transform(featurised(slim, suffixes)))
     shared = df.sparkSession.sparkContext.broadcast((np.asarray(model.coefficients), names, model.classes))
 
     @F.udf("array<struct<token:string,contribution:double>>", useArrow=False)
     def top(v, label):
         w, all_names, classes = shared.value
-        dense = v.toArray()
-        at = np.flatnonzero(dense)
-        c = dense[at] * w[classes.index(label), at]
+        at, x = (v.indices, v.values) if hasattr(v, "indices") else (np.flatnonzero(v.toArray()), v.toArray()[v.toArray() != 0])
+        c = x * w[classes.index(label), at]
         order = sorted(range(len(at)), key=lambda i: (-abs(c[i]), -at[i]))[:5]
         return [(all_names[at[i]], float(c[i])) for i in order if c[i] != 0]
 
+    some = F.col("text").isNotNull()
     legit = model.classes.index("legit") if "legit" in model.classes else None
-    risk = F.lit(None).cast("double") if legit is None else 1.0 - F.col("probability")[legit]
-    scored = scored.withColumn("risk", risk).withColumn("confidence", F.array_max("probability")).withColumn("verdict", verdict(F.col("risk")))
-    scored = scored.withColumn("risk_signals", risk_signals(np.asarray(model.coefficients), model.classes)).withColumn("top_tokens", top("features", "prediction"))
-    return scored.select(*df.columns, F.col("prediction").alias("predicted_class"), "confidence", "risk", "verdict", split_category(F.col("risk"), F.col("confidence")).alias("split_category"), "risk_signals", "top_tokens")
+    risk = F.lit(None).cast("double") if legit is None else F.when(some, 1.0 - F.col("probability")[legit])
+    scored = scored.withColumn("risk", risk).withColumn("confidence", F.when(some, F.array_max("probability"))).withColumn("verdict", verdict(F.col("risk")))
+    scored = scored.withColumn("risk_signals", F.when(some, risk_signals(np.asarray(model.coefficients), model.classes))).withColumn("top_tokens", F.when(some, top("features", "prediction")))
+    made = ("predicted_class", "confidence", "risk", "verdict", "split_category", "risk_signals", "top_tokens")
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in made]
+    return scored.select(*kept, F.when(some, F.col("prediction")).alias("predicted_class"), "confidence", "risk", "verdict", split_category(F.col("risk"), F.col("confidence")).alias("split_category"), "risk_signals", "top_tokens")
+
+
+def classify_one(spark: SparkSession, text: str, trained, suffixes: Suffixes) -> dict:
+    """The result for one text of 1 to ``MAX_CHARS`` characters."""
+    if not text or not text.strip() or len(text) > MAX_CHARS:
+        raise ValueError(f"a text of 1 to {MAX_CHARS} characters is wanted")
+    return classify(spark.createDataFrame([(text,)], "text string"), trained, suffixes).first().asDict(recursive=True)
+
+
+def classify_batch(spark: SparkSession, path: str, trained, suffixes: Suffixes) -> tuple[DataFrame, DataFrame]:
+    """The results for an uploaded CSV, by position, and their summary."""
+    from msgrisk.sources.io import read_upload
+
+    rows = classify(read_upload(spark, path, MAX_BATCH_ROWS), trained, suffixes).orderBy("pos")
+    return rows, batch_summary(rows)
+
+
+def suite_report(cases: DataFrame, trained, suffixes: Suffixes, floor: float) -> DataFrame:
+    """Confusion of ``cases(id, label, family, text)`` at the flagging risk; raises if recall is under ``floor``."""
+    from msgrisk.operators.evaluate import confusion
+
+    scored = classify(cases, trained, suffixes)
+    report = confusion(scored, F.col("label") == "smish", F.col("risk") >= FRAUD_MIN)
+    recall = report.first()["recall"]
+    if recall < floor:
+        raise ValueError(f"recall {recall:.3f} is under the floor {floor}")
+    return report
 
 
 def valid_opinion(body: Column) -> Column:

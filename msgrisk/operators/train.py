@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgrisk.operators.evaluate import classification_report
@@ -119,6 +120,10 @@ class Ensemble:
         return df.select(*kept, F.element_at(names, F.array_position("probability", F.array_max("probability")).cast("int")).alias("prediction"), "probability")
 
 
+def members_of(model: Linear | Ensemble) -> list[Linear]:
+    return model.members if isinstance(model, Ensemble) else [model]
+
+
 @dataclass
 class Trained:
     features: FeatureModel
@@ -126,6 +131,46 @@ class Trained:
     name: str
     metrics: dict
 
+    def save(self, path: str) -> None:
+        """Features, coefficients (one row a class and member) and metrics under ``path``."""
+        spark = SparkSession.active()
+        self.features.save(f"{path}/features")
+        rows = [
+            (i, m.kind, k, c, m.coefficients[k].tolist(), float(m.intercepts[k]), m.platt[k].tolist() if m.platt is not None else None)
+            for i, m in enumerate(members_of(self.model)) for k, c in enumerate(m.classes)
+        ]
+        spark.createDataFrame(rows, "member int, kind string, k int, label string, coefficients array<double>, intercept double, platt array<double>").write.mode("overwrite").parquet(f"{path}/model")
+        spark.createDataFrame([(json.dumps({"name": self.name, "metrics": self.metrics}, default=float),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metrics")
+
+    @staticmethod
+    def load(path: str) -> "Trained":
+        spark = SparkSession.active()
+        held: dict[int, list] = {}
+        for r in spark.read.parquet(f"{path}/model").collect():  # classes times members
+            held.setdefault(r["member"], []).append(r)
+        members = []
+        for _, rows in sorted(held.items()):
+            rows.sort(key=lambda r: r["k"])
+            platt = np.array([r["platt"] for r in rows]) if rows[0]["platt"] is not None else None
+            members.append(Linear([r["label"] for r in rows], np.array([r["coefficients"] for r in rows]), np.array([r["intercept"] for r in rows]), rows[0]["kind"], platt))
+        said = json.loads(spark.read.text(f"{path}/metrics").first()["value"])
+        return Trained(FeatureModel.load(f"{path}/features"), members[0] if members[0].kind != "sigmoid" else Ensemble(members), said["name"], said["metrics"])
+
+
+class Served:
+    """The model at a path, read again when it was written anew."""
+
+    def __init__(self, path: str):
+        self.path, self.stamp, self.trained = path, None, None
+
+    def current(self) -> Trained:
+        spark = SparkSession.active()
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/metrics/_SUCCESS")
+        stamp = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+        if stamp != self.stamp:
+            self.trained, self.stamp = Trained.load(self.path), stamp
+        return self.trained
+
 
 def train_all(df: DataFrame, suffixes: Suffixes, seed: int = 42, kinds: tuple[str, ...] = ("logistic_regression", "linear_svm", "calibrated_linear_svm"), max_iter: int = 40) -> Trained:
     """Group split, augmentation, one featurisation for all models, reports, choice by adversarial macro-F1."""

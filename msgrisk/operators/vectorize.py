@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgrisk.functions.lexicons import SIGNALS
-from msgrisk.functions.signals import normal_for_tfidf, with_signals
+from msgrisk.functions.signals import TMP, normal_for_tfidf, with_signals
 from msgrisk.functions.urls import Suffixes
 
 
@@ -47,10 +48,12 @@ def document_frequency(df: DataFrame, tokens: Column) -> DataFrame:
 
 
 def featurised(df: DataFrame, suffixes: Suffixes, text: str = "text") -> DataFrame:
-    """Signals, n-gram columns; every row once."""
+    """Signals, n-gram columns; every row once. A null text has no terms and no signal."""
     df = with_signals(df, suffixes, text, keep=True)
-    df = df.withColumn("_normal", normal_for_tfidf(F.col("_canon"), suffixes))
-    return df.withColumn("word_terms", word_ngrams(F.col("_normal"))).withColumn("char_terms", char_ngrams(F.col("_normal"))).drop("_canon", "_normal")
+    df = df.withColumn(f"{TMP}normal", normal_for_tfidf(F.col(f"{TMP}canon"), suffixes))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("word_terms", F.coalesce(word_ngrams(F.col(f"{TMP}normal")), none)).withColumn("char_terms", F.coalesce(char_ngrams(F.col(f"{TMP}normal")), none))
+    return df.withColumns({s: F.coalesce(s, F.lit(0.0)) for s in SIGNALS}).drop(f"{TMP}canon", f"{TMP}normal")
 
 
 @dataclass
@@ -60,15 +63,26 @@ class FeatureModel:
     model: PipelineModel
     names: list[str]
 
+    def save(self, path: str) -> None:
+        """The pipeline and the names (one JSON line) under ``path``."""
+        spark = SparkSession.active()
+        self.model.write().overwrite().save(f"{path}/pipeline")
+        spark.createDataFrame([(json.dumps(self.names),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/names")
+
+    @staticmethod
+    def load(path: str) -> "FeatureModel":
+        names = json.loads(SparkSession.active().read.text(f"{path}/names").first()["value"])
+        return FeatureModel(PipelineModel.load(f"{path}/pipeline"), names)
+
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df).drop("word_counts", "char_counts", "word_idf", "char_idf", "word_scaled", "char_scaled", "word_tfidf", "char_tfidf", "word_terms", "char_terms")
 
 
-def fit_features(df: DataFrame, min_df: float = 2.0, vocabulary: int = 1 << 16) -> FeatureModel:
-    """Fit on featurised rows. Each block is scaled by idf + 1 and normalised on its own."""
+def fit_features(df: DataFrame, min_df: float = 2.0) -> FeatureModel:
+    """Fit on featurised rows; every term of ``min_df`` rows or more has a feature. Each block is scaled by idf + 1 and normalised on its own."""
     stages, names, now = [], [], df
     for block in ("word", "char"):
-        counts = CountVectorizer(inputCol=f"{block}_terms", outputCol=f"{block}_counts", minDF=min_df, vocabSize=vocabulary).fit(now)
+        counts = CountVectorizer(inputCol=f"{block}_terms", outputCol=f"{block}_counts", minDF=min_df, vocabSize=(1 << 31) - 1).fit(now)
         now = counts.transform(now)
         idf = IDF(inputCol=f"{block}_counts", outputCol=f"{block}_idf").fit(now)
         scale = Vectors.dense([x + 1.0 for x in idf.idf.toArray()])

@@ -52,7 +52,7 @@ def suffixes() -> Suffixes:
 
 M = messages_sql()
 DIGITS = "(?:[0-9]{3}|[03-9][0-9]{3}|1[0-8][0-9]{2}|2[1-9][0-9]{2}|[0-9]{5})"
-CUE = r"\b(?:" + "|".join(L.CONTACT_CUES) + r")\b[\s:,\-]{0,22}"
+CUE = r"\b(?:" + "|".join(rf"{c}\b[\s:,\-]{{0,{24 - len(c)}}}" for c in "to on at via dial call calling sms text contact reply ku kuno kwa pa fonerai tumirai thumela".split()) + ")"
 SHORT = hit("text", f"{CUE}{DIGITS}([^0-9]|$)")
 FULL = hit("text", "[0-9]{9,}")
 
@@ -284,23 +284,36 @@ def risk_spread(spark, sf_dir):
     return evaluate.risk_spread(labelled(spark, sf_dir), "toxic", "risk")
 
 
-_FIRE = {"has_full_number": FULL, "has_currency_amount": hit("text", L.CURRENCY), "authorization_via_inbound_call": f"{words('text', L.CALL_PRIMING)} AND {words('text', L.APPROVAL)}", "never": "false"}
+_RULES = {
+    "has_full_number": FULL, "has_currency_amount": hit("text", L.CURRENCY), "authorization_via_inbound_call": f"{words('text', L.CALL_PRIMING)} AND {words('text', L.APPROVAL)}",
+    "ussd_embeds_msisdn": hit("text", L.USSD_MSISDN), "requests_personal_id": asked(L.PERSONAL_ID, True), "has_shortcode": SHORT,
+}
 
 
-def _fired(spark, sf_dir):
-    m, t = messages(spark, sf_dir), F.col("text")
-    m = m.withColumns({"has_full_number": t.rlike(L.FULL_NUMBER).cast("double"), "has_currency_amount": S.has(t, L.CURRENCY).cast("double"), "authorization_via_inbound_call": S.call_authorisation(F.lower("text")).cast("double"), "never": F.lit(0.0)})
-    return evaluate.firing(m, list(_FIRE), F.col("is_fraud"))
+def _fired(spark, sf_dir, df=None):
+    df = messages(spark, sf_dir) if df is None else df
+    return evaluate.firing(S.with_signals(df, suffixes(), is_canonical=True), list(_RULES), F.col("is_fraud"))
+
 
+def _firing_sql(src: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS signal, count(*) FILTER (is_fraud AND {c}) AS on_positive, count(*) FILTER (NOT is_fraud AND {c}) AS on_negative FROM ({src})" for s, c in _RULES.items())
 
-@register(" UNION ALL ".join(f"SELECT '{s}' AS signal, count(*) FILTER (is_fraud AND {c}) AS on_positive, count(*) FILTER (NOT is_fraud AND {c}) AS on_negative FROM ({M})" for s, c in _FIRE.items()))
+
+@register(_firing_sql(M))
 def signal_firing_pivot(spark, sf_dir):
     return _fired(spark, sf_dir)
 
 
-@register("SELECT 'never' AS signal")
+@register(f"SELECT signal FROM ({_firing_sql(f'SELECT * FROM ({M}) WHERE msg_id % 24 IN (2, 10, 17)')}) WHERE on_positive = 0 AND on_negative = 0")
 def never_fired(spark, sf_dir):
-    return evaluate.never_fired(_fired(spark, sf_dir))
+    """Signals that never fire on three kinds of messages."""
+    return evaluate.never_fired(_fired(spark, sf_dir, messages(spark, sf_dir).filter("msg_id % 24 in (2, 10, 17)")))
+
+
+@register(f"SELECT signal, on_positive, row_number() OVER (ORDER BY on_positive DESC, signal) AS place FROM ({_firing_sql(M)})")
+def firing_by_count(spark, sf_dir):
+    ranked = evaluate.by_count(_fired(spark, sf_dir))
+    return ranked.select("signal", "on_positive", F.col("place").cast("long").alias("place"))
 
 
 _WEIGHT = "(CAST(l_partkey % 7 AS DOUBLE) - 3.0) / 4.0"
@@ -326,9 +339,13 @@ def batch_summary(spark, sf_dir):
     return score.batch_summary(labelled(spark, sf_dir))
 
 
-@register(f"SELECT doc_id, risk FROM ({_LAB}) WHERE toxic = 1 AND risk < 0.5")
-def missed_listing(spark, sf_dir):
-    return evaluate.listing(labelled(spark, sf_dir), F.col("toxic") == 1, "risk", 0.5, "missed").select("doc_id", "risk")
+_KIND_OF = "CASE WHEN toxic = 1 THEN CASE WHEN risk < 0.5 THEN 'missed' ELSE 'caught' END ELSE CASE WHEN risk >= 0.5 THEN 'false_alarm' ELSE 'cleared' END END"
+
+
+@register(f"SELECT doc_id, risk, {_KIND_OF} AS kind FROM ({_LAB})")
+def case_listings(spark, sf_dir):
+    out = [evaluate.listing(labelled(spark, sf_dir), F.col("toxic") == 1, "risk", 0.5, k).select("doc_id", "risk", F.lit(k).alias("kind")) for k in ("missed", "caught", "false_alarm", "cleared")]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
 _AT = "(('0x' || substr(md5(coalesce(source, 'row_' || doc_id) || '#42'), 1, 8))::BIGINT / 4294967296.0)"
@@ -342,7 +359,7 @@ def group_split(spark, sf_dir):
 
 @register("SELECT item_id, substr(sha1(text), 1, 12) AS template_id FROM benchmark")
 def template_ids(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.sha1("text"), 1, 12).alias("template_id"))
+    return table(spark, sf_dir, "benchmark").select("item_id", corpus.template_id(F.col("text")).alias("template_id"))
 
 
 @register(f"SELECT msg_id, translate(text, {lit(evasion.LEET[0])}, {lit(evasion.LEET[1])}) AS leet, translate(text, {lit(evasion.HOMOGLYPHS[0])}, {lit(evasion.HOMOGLYPHS[1])}) AS homoglyph, translate(text, {lit(evasion.WIDE_FROM)}, {lit(evasion.WIDE_TO)}) AS wide FROM ({M})")

@@ -6,12 +6,10 @@ import json
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from msgrisk.functions.lexicons import LABELS
-
 MESSAGES = T.StructType([
     T.StructField("id", T.LongType(), False), T.StructField("text", T.StringType(), False), T.StructField("label", T.StringType()), T.StructField("source", T.StringType(), False),
     T.StructField("template_id", T.StringType()), T.StructField("predicted_class", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("created_at", T.TimestampType(), False),
@@ -26,6 +24,13 @@ class Config:
     review_model: str = field(default_factory=lambda: os.environ.get("REVIEW_MODEL", ""))
 
 
+def session(config: Config | None = None, name: str = "message-risk") -> SparkSession:
+    """A session; tables under ``database_url``, if set, are found by name."""
+    config = config or Config()
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    return (builder.config("spark.sql.warehouse.dir", config.database_url) if config.database_url else builder).getOrCreate()
+
+
 class UploadError(ValueError):
     """A refused upload; the message says why."""
 
@@ -35,23 +40,19 @@ def labelled(df: DataFrame) -> DataFrame:
     return df.filter(F.col("label").isNotNull()).select("id", "text", "label", "template_id", F.coalesce("template_id", F.concat(F.lit("row_"), F.col("id"))).alias("grp"))
 
 
-def texts(df: DataFrame) -> DataFrame:
-    return df.select("text")
-
-
 def read_upload(spark: SparkSession, path: str, limit: int = 500) -> DataFrame:
     """First column of a header-less CSV: (pos, text); blank cells dropped, first ``limit`` rows by position."""
     if not path.lower().endswith(".csv"):
-        raise UploadError("CSV files only.")
+        raise UploadError("the upload is not a .csv file")
     whole = spark.read.format("binaryFile").load(path).select("content")
     if whole.filter(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count():
-        raise UploadError("The file is not UTF-8.")
+        raise UploadError("the upload is not encoded as UTF-8")
     cells = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     # one file in one partition: ids follow the file's order
     rows = cells.select(F.monotonically_increasing_id().alias("pos"), F.col(cells.columns[0]).alias("text")) if cells.columns else spark.createDataFrame([], "pos long, text string")
     rows = rows.filter(F.regexp_replace("text", r"(?U)^\s+|\s+$", "") != "").orderBy("pos").limit(limit)
     if rows.isEmpty():
-        raise UploadError("No messages found in that CSV.")
+        raise UploadError("the upload holds no message")
     return rows
 
 
@@ -73,15 +74,6 @@ def delete_source(spark: SparkSession, path: str, source: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def valid_labels(df: DataFrame) -> DataFrame:
-    """Rows whose label is none of the seven."""
-    return df.filter(F.col("label").isNotNull() & ~F.col("label").isin(LABELS))
-
-
-def with_ids(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("id", F.row_number().over(Window.orderBy(order)).cast("long"))
-
-
 def write_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(metrics, default=float),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -124,6 +124,91 @@ def test_review_never_breaks(spark):
     assert got["a"]["verdict"] == "fraud" and got["b"] is None and got["c"] is None
 
 
+def test_shortcode_window(spark):
+    df = spark.createDataFrame([("dial" + " " * 20 + "151",), ("dial" + " " * 21 + "151",), ("to" + " " * 22 + "151",)], "t string")
+    assert [r[0] for r in df.select(S.shortcode(F.col("t"))).collect()] == [True, False, True]
+
+
+def test_signals_keep_columns(spark):
+    df = spark.createDataFrame([("call 0771234567", "kept", 9.0)], "text string, _note string, has_url double")
+    out = S.with_signals(df, Q.suffixes())
+    assert sorted(out.columns) == sorted({"text", "_note", *SIGNALS}) and out.first()["_note"] == "kept" and out.first()["has_url"] == 0.0
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    from msgrisk.operators.train import train_all
+
+    return train_all(corpus.generate(spark, 300), Q.suffixes(), kinds=("logistic_regression",), max_iter=15)
+
+
+def test_classify_and_saved_model(spark, trained, tmp_path):
+    from msgrisk.operators.train import Served
+
+    trained.save(str(tmp_path / "model"))
+    served = Served(str(tmp_path / "model"))
+    again = served.current()
+    assert served.current() is again and again.name == trained.name
+    df = spark.createDataFrame([(1, "URGENT: verify your wallet at http://secure-wallet.top/x with your PIN", "a", 0.1), (2, None, "b", 0.2), (3, "", "c", 0.3)], "id int, text string, features string, risk double")
+    one = {r["id"]: r for r in score.classify(df, trained, Q.suffixes()).collect()}
+    two = {r["id"]: r for r in score.classify(df, again, Q.suffixes()).collect()}
+    assert one == two and one[1]["features"] == "a"
+    assert one[1]["risk"] > 0.5 and one[1]["predicted_class"] != "legit" and 0 < len(one[1]["top_tokens"]) <= 5 and len(one[1]["risk_signals"]) == len(SIGNALS)
+    assert (one[2]["risk"], one[2]["predicted_class"], one[2]["top_tokens"], one[2]["verdict"]) == (None, None, None, "Unscored")
+    assert one[3]["risk"] is not None
+    assert score.classify_one(spark, "Reminder: school fees are due", trained, Q.suffixes())["predicted_class"] in trained.model.classes
+    with pytest.raises(ValueError):
+        score.classify_one(spark, " ", trained, Q.suffixes())
+    upload = tmp_path / "m.csv"
+    upload.write_text("Claim your prize at http://bit.ly/abc today only\nMeter 12345678: units bought\n")
+    rows, summary = score.classify_batch(spark, str(upload), trained, Q.suffixes())
+    assert [r["pos"] for r in rows.collect()] == [0, 1] and summary.first()["n_rows"] == 2
+    assert score.meta(trained.model.classes)["max_batch_rows"] == 500
+
+
+def test_suite_floor(spark, trained):
+    bad = ["Pay the fee at http://claim-now.top/abc and enter your card", "Agent 4 will call you, read the code to them", "You won $900! Claim your prize at http://bit.ly/xyz", "Send your PIN and OTP to keep your wallet"]
+    good = ["Your appointment in Gweru is on 3 Mar at 10am", "Meter TX123456: units bought for $20.00. Thank you.", "Salary of $400.00 paid on 2 Jul. Payslip TX555555."]
+    cases = spark.createDataFrame([(str(i), "smish", "own", t) for i, t in enumerate(bad)] + [(f"g{i}", "genuine", "own", t) for i, t in enumerate(good)], "id string, label string, family string, text string")
+    r = score.suite_report(cases, trained, Q.suffixes(), 0.7).first()
+    assert r["recall"] >= 0.75 and r["fp"] <= 1
+    with pytest.raises(ValueError):
+        score.suite_report(cases, trained, Q.suffixes(), 1.01)
+
+
+def test_support_vector_machines(spark):
+    from msgrisk.operators import train
+
+    rows = [(float(i % 2), [float(i % 2) + 0.01 * i, 1.0 - i % 2]) for i in range(40)]
+    df = spark.createDataFrame([(i, y, x) for i, (y, x) in enumerate(rows)], "id long, _y double, x array<double>").select("id", "_y", train.array_to_vector("x").alias("features")).coalesce(1).persist()
+    svm = train.margins(df, ["a", "b"], 10)
+    said = svm.scored(df).collect()
+    assert all(r["prediction"] == "ab"[int(r["_y"])] and r["probability"] is None for r in said)
+    both = train.Ensemble(train.calibrated(df, ["a", "b"], "id", folds=2, max_iter=10))
+    assert all(abs(sum(r["probability"]) - 1) < 1e-9 and r["prediction"] == "ab"[int(r["_y"])] for r in both.scored(df).collect())
+    df.unpersist()
+
+
+def test_read_import(spark, tmp_path):
+    spark.createDataFrame([("a", "none"), ("a", "none"), ("b", "tax_refund_scam")], "sms_text string, smishing_type string").coalesce(1).write.parquet(str(tmp_path / "x"))
+    raw = importer.read_import(spark, str(tmp_path / "x"))
+    out = importer.import_messages(raw, spark.createDataFrame([], "text string"), "pos")
+    assert sorted((r["text"], r["label"]) for r in out.collect()) == [("a", "legit"), ("b", "phishing_credential")]
+
+
+def test_requests_and_sinks(spark, tmp_path):
+    good, rest = io.read_requests(spark.createDataFrame([('{"text": "hi"}',), ('{"text": ""}',), ("no json",), (None,)], "value string"))
+    assert [r["text"] for r in good.collect()] == ["hi"] and rest.count() == 3
+    io.write_metrics(spark, {"f1": 0.5}, str(tmp_path / "m"))
+    assert spark.read.text(str(tmp_path / "m")).first()["value"] == '{"f1": 0.5}'
+    cases = spark.createDataFrame([("S1", "smish", "x", 'a "b", c', None)], "id string, label string, family string, text string, note string")
+    io.write_corpus_csv(cases, str(tmp_path / "c"))
+    assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).first()["text"] == 'a "b", c'
+    io.write_cases(cases, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first()["id"] == "S1"
+    assert "| legit |" in corpus.dataset_card(spark.createDataFrame([("legit",)], "label string"))
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
