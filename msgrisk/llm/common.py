@@ -93,27 +93,6 @@ def map_rows(df: DataFrame, fn: Callable[[list[list]], list], schema: str | T.St
     return df.mapInArrow(run, out)
 
 
-def map_stream(df: DataFrame, start: Callable[[], Callable[[list[list] | None], Iterator[list]]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """As :func:`map_rows` with state per task: ``start()`` gives a function that
-    is called with each slice and with None at the end, and yields column lists."""
-    out = T._parse_datatype_string(schema)
-    arrow = to_arrow_schema(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = start()
-
-        def emit(cols_iter):
-            for cols in cols_iter:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
-
-        for batch in batches:
-            for part in slices(batch, rows):
-                yield from emit(step([c.to_pylist() for c in part.columns]))
-        yield from emit(step(None))
-
-    return df.mapInArrow(run, out)
-
-
 def fold(doc_id: int | None, mod: int) -> int:
     """crc32 of the id as text, modulo ``mod``; a null id counts as empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
