@@ -19,7 +19,10 @@ from msgrisk.functions import lexicons as L
 GENERIC = "com net org info biz edu gov mil int name pro mobi app dev xyz top site online store shop club help link live click work icu vip me io co tv cc ly gle".split()
 SECOND = "co com net org gov ac edu or ne go gob mil".split()
 EXTRA_COUNTRIES = "uk eu ac su".split()
+MAX_LINES = 50_000
+# Fixed value: the shape of a host's label.
 LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+# End of fixed values.
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,10 @@ class Suffixes:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Suffixes":
-        return Suffixes.of([r["value"] for r in spark.read.text(path).limit(20_000).collect()])
+        lines = [r["value"] for r in spark.read.text(path).limit(MAX_LINES + 1).collect()]
+        if len(lines) > MAX_LINES:
+            raise ValueError(f"a list of suffixes of more than {MAX_LINES} lines")
+        return Suffixes.of(lines)
 
 
 def bare_domain(s: Suffixes) -> str:

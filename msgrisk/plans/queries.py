@@ -154,12 +154,25 @@ def canonical_fold(spark, sf_dir):
 _PLAIN = f"translate(t, {lit(C.LEET_FROM)}, {lit(C.LEET_TO)})"
 
 
-@register(f"SELECT msg_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9@$]+|[^A-Za-z0-9@$]+'), lambda t: CASE WHEN len(t) >= 3 AND regexp_matches(t, '^[A-Za-z0-9@$]*[0-9@$][A-Za-z0-9@$]*$') AND lower({_PLAIN}) IN ({', '.join(map(lit, C.LEET_WORDS))}) THEN {_PLAIN} ELSE t END), '') AS plain FROM ({M})")
+def _deleeted(col: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({col}, '[A-Za-z0-9@$]+|[^A-Za-z0-9@$]+'), lambda t: CASE WHEN len(t) >= 3 AND regexp_matches(t, '^[A-Za-z0-9@$]*[0-9@$][A-Za-z0-9@$]*$') AND lower({_PLAIN}) IN ({', '.join(map(lit, C.LEET_WORDS))}) THEN {_PLAIN} ELSE t END), '')"
+
+
+@register(f"SELECT msg_id, {_deleeted('text')} AS plain FROM ({M})")
 def canonical_deleet(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", C.deleet(F.col("text")).alias("plain"))
 
 
-@register()
+def _unspaced(col: str) -> str:
+    # a word, a run of three or more single letters, or any one character
+    return f"array_to_string(list_transform(regexp_extract_all({col}, '[A-Za-z]{{2,}}|[A-Za-z](?:[ \\t][A-Za-z]\\b){{2,}}|(?s:.)'), lambda p: CASE WHEN regexp_matches(p, '^[A-Za-z][ \\t][A-Za-z]') THEN regexp_replace(p, '[ \\t]', '', 'g') ELSE p END), '')"
+
+
+# no message changes under compatibility composition, which this SQL lacks; a test holds that step against Python's
+CANON = f"SELECT msg_id, {_unspaced('plain')} AS text, is_fraud, o_custkey FROM (SELECT *, {_deleeted('folded')} AS plain FROM (SELECT *, {_folded('text')} AS folded FROM ({M})))"
+
+
+@register(f"SELECT msg_id, text AS canon FROM ({CANON})")
 def canonical_full(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", C.canonical(F.col("text")).alias("canon"))
 
@@ -181,9 +194,9 @@ def tfidf_placeholders(spark, sf_dir):
 _W = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')"
 
 
-@register(f"WITH d AS (SELECT {_W} AS w FROM benchmark) SELECT gram, count(*) AS n FROM (SELECT unnest(w) AS gram FROM d UNION ALL SELECT unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) FROM d) GROUP BY gram")
+@register(f"WITH d AS (SELECT {_W} AS w FROM documents) SELECT gram, count(*) AS n FROM (SELECT unnest(w) AS gram FROM d UNION ALL SELECT unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) FROM d) GROUP BY gram")
 def word_ngrams(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.explode(vectorize.word_ngrams(F.lower("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select(F.explode(vectorize.word_ngrams(F.lower("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @register(
@@ -373,6 +386,30 @@ def obfuscate_all(spark, sf_dir):
     return evasion.obfuscate(messages(spark, sf_dir), "text", "msg_id").select("msg_id", "technique", "obscured")
 
 
+_LOW_URGENT = f"CAST(len(regexp_extract_all(lower(text), {lit(L.any_word(L.URGENCY))})) AS DOUBLE)"
+_OFF, _UNOFF = f"len(list_filter(hosts, lambda h: {OFFICIAL})) > 0", f"len(list_filter(hosts, lambda h: NOT {OFFICIAL})) > 0"
+_BRAND = words("text", L.BRANDS)
+_ALL = {
+    "has_shortcode": SHORT, "has_full_number": FULL, "has_url": f"regexp_matches(text, {_URL})", "has_currency_amount": hit("text", L.CURRENCY), "requests_sensitive_credentials": asked(L.CREDENTIALS, True),
+    "brand_with_trusted_channel": f"{_BRAND} AND ({_OFF} OR {SHORT})", "brand_with_untrusted_channel": f"{_BRAND} AND ({_UNOFF} OR {FULL})",
+    "has_shortener_url": f"len(list_filter(hosts, lambda h: h IN ({', '.join(map(lit, L.SHORTENERS))}))) > 0", "has_unofficial_url": _UNOFF,
+    "brand_lookalike_domain": f"len(list_filter(hosts, lambda h: NOT {OFFICIAL} AND regexp_matches(h, {lit('|'.join(L.quoted(b) for b in L.BRANDS))}))) > 0",
+    "requests_identity_verification": f"({asked(L.VERIFY_VERBS, False)}) OR ({asked(L.VERIFY_NOUNS, True)})", "requests_personal_id": asked(L.PERSONAL_ID, True),
+    "deceptive_subdomain": f"len(list_filter(hosts, lambda h: NOT {OFFICIAL} AND len(list_filter({_INNER}, lambda l: l IN ({_LABELS}))) > 0)) > 0",
+    "passive_consent_device_change": f"({words('text', L.DEVICE_CHANGE)} OR {hit('text', L.DEVICE_NEAR)}) AND {words('text', L.PASSIVE_CONSENT)} AND NOT {words('text', L.STOP_CUES)}",
+    "authorization_via_inbound_call": f"{words('text', L.CALL_PRIMING)} AND {words('text', L.APPROVAL)}",
+    "screen_mismatch_coaching": f"({words('text', L.SCREEN_PROMPT)} OR {hit('text', L.QUOTED_APPEARS)}) AND ({words('text', L.SCREEN_MISMATCH)} OR {hit('text', L.MISMATCH_MODAL)} OR {hit('text', L.EXPLAIN_AWAY)})",
+    "ussd_advance_fee_offer": f"{hit('text', L.USSD)} AND ({words('text', L.AMPLIFICATION)} OR ({hit('text', L.RECEIVE_BACK)} AND {hit('text', L.SEND_VERB)}))", "ussd_embeds_msisdn": hit("text", L.USSD_MSISDN),
+    "has_transaction_reference": f"len(list_filter(regexp_extract_all(regexp_replace(text, {lit('(?i)' + L.STRIP_URL)}, ' ', 'g'), {lit('(?i)' + L.REFERENCE_WORDS + '([A-Z0-9][A-Z0-9./-]{5,}[^' + chr(92) + 's]*)')}, 1), lambda x: regexp_matches(x, '[0-9]'))) > 0",
+}
+
+
+@register(f"SELECT msg_id, {_LOW_URGENT} AS urgency_word_count, {', '.join(f'{num(c)} AS {s}' for s, c in _ALL.items())} FROM (SELECT *, {HOSTS} AS hosts FROM ({CANON}))")
+def canonical_signals(spark, sf_dir):
+    """All twenty signals as scoring takes them: of the canonical text."""
+    return S.with_signals(messages(spark, sf_dir), suffixes()).select("msg_id", *L.SIGNALS)
+
+
 @register()
 def all_signals(spark, sf_dir):
     """All twenty signals of the canonicalised messages, with the suffixes found by rule."""

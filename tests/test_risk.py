@@ -93,6 +93,38 @@ def test_evaluation_on_empty_input(spark):
     assert (r["tp"], r["precision"], r["f1"]) == (0, 0.0, 0.0)
 
 
+def test_risk_spread_is_exact(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [("a", r.random()) for _ in range(30_001)] + [("b", 0.25)] * 7000 + [("b", 0.5)] * 7000 + [("b", 0.75)] + [(None, 0.1), (None, 0.9)] + [("c", None), ("d", 0.3), ("d", None)]
+    got = {x["y"]: tuple(x)[1:] for x in evaluate.risk_spread(spark.createDataFrame(rows, "y string, p double").repartition(5), "y", "p").collect()}
+    want = {}
+    for key in {k for k, _ in rows}:
+        own = sorted(p for k, p in rows if k == key and p is not None)
+        if own:
+            want[key] = (own[0], own[len(own) // 2], own[-1])
+    assert got == want
+    assert evaluate.risk_spread(spark.createDataFrame([], "y string, p double"), "y", "p").count() == 0
+
+
+def test_compatibility_composition(spark):
+    texts = ["ｖｅｒｉｆｙ ①", "ﬁle ㎏", "e\u0301 plain", "ascii", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["c"] for r in df.select("i", C.compatible(F.col("t")).alias("c")).collect()}
+    assert got == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+
+
+def test_list_of_suffixes(spark, tmp_path, monkeypatch):
+    from msgrisk.functions import urls
+
+    (tmp_path / "s.txt").write_text("// a comment\ncom\nco.zw\n\n")
+    assert Suffixes.load(spark, str(tmp_path / "s.txt")).compound == ("co.zw",)
+    monkeypatch.setattr(urls, "MAX_LINES", 2)
+    with pytest.raises(ValueError):
+        Suffixes.load(spark, str(tmp_path / "s.txt"))
+
+
 def test_upload(spark, tmp_path):
     good = tmp_path / "m.CSV"
     good.write_text('"a, ""b""",x\n"two\nlines"\n  \nlast\n')
