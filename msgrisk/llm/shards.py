@@ -13,7 +13,8 @@ written by one task through Spark's own text sink, so any store and a lost
 executor's retry are safe. Ids travel compressed, grouped by shard.
 
 Edge cases: a null or empty text is one sequence of the end id alone; repeated
-rows are sequences of their own; a null doc_id is kept; an empty table writes
+rows are sequences of their own; a text of any length is cut into as many
+sequences as it needs; a null doc_id is kept; an empty table writes
 nothing and gives an empty index.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgrisk.llm.common import materialise, shared_path
+from msgrisk.llm.common import materialise, shared_path, slices
 from msgrisk.llm.tokens import codec, vocabulary_path
 
 LENGTH = 256
@@ -34,7 +35,7 @@ PER_SHARD = 16_384
 KEY = 0x5EED_0F_0DE5
 ROUNDS = 6
 END_ID = 0
-FILL = 0xFFFF  # not an id: the vocabulary has fewer
+FILL = 0xFFFF  # not an id: a larger vocabulary is refused
 LEVEL = 5
 SLICE = 2048  # documents encoded together
 
@@ -76,8 +77,7 @@ def tokenise(docs: DataFrame, length: int, path: str) -> DataFrame:
 
         task, pos = TaskContext.get().partitionId(), 0
         for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                part = b.slice(at, SLICE)
+            for part in slices(b, SLICE):
                 ids, bounds = codec(path).encode_flat(part.column(1).to_pylist())
                 # the end id after each document
                 wide = np.full(len(ids) + part.num_rows, END_ID, "<u4")
@@ -111,8 +111,10 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
     """Write the shards under ``path`` and return the index, one row per sequence."""
     import zstandard
 
-    spark = docs.sparkSession
-    seqs = materialise(tokenise(docs, length, tokenizer_path or vocabulary_path()), "sequences", **{"parquet.enable.dictionary": "false"})
+    spark, tokenizer_path = docs.sparkSession, tokenizer_path or vocabulary_path()
+    if codec(tokenizer_path).tokenizer.get_vocab_size() > FILL:
+        raise ValueError(f"ids of 16 bits cannot hold a vocabulary of more than {FILL}")
+    seqs = materialise(tokenise(docs, length, tokenizer_path), "sequences", **{"parquet.enable.dictionary": "false"})
     # one row per file of the table above: its first sequence number
     sizes = sorted((r["task"], r["n"]) for r in seqs.groupBy("task").agg(F.count("*").alias("n")).collect())
     first, n = {}, 0
