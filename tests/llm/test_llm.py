@@ -313,6 +313,13 @@ def test_lm_beats_the_base_on_held_out_texts():
     assert score.sum() / size.sum() > base / size.sum() + 0.1
 
 
+def test_lm_keeps_words_in_one_cache():
+    path, _, head, model = small_model()
+    scorer = lm.Scorer(model, dict(head), 100, 10, 3)
+    scorer(["the river überall xyzzyq. 日本", "houses"])
+    assert len(scorer.cache) == 7 and not tokens.codec(path).cache and not tokens.codec(path).older
+
+
 def test_language_and_toxicity_held_out(spark):
     big = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{big}/documents.parquet").collect()}
