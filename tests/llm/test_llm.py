@@ -192,6 +192,26 @@ def test_secrets_planted_in_documents(spark):
     assert scored and np.mean(np.array(scored) > 0.5) > 0.9  # base findings are candidates too
 
 
+def test_secrets_learn_from_all_findings(spark, monkeypatch):
+    text = " ".join(f"longharmlessrun{'x' * k}" for k in range(12)) + " token=abcdefgh12345678" * 9
+    table = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    found = secrets.document_findings(table)
+    assert {(r["y"], r["n"]) for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()} == {(0, 480), (1, 360)}
+    net = secrets.trained()
+    held = found.filter("held")
+    counts = secrets.histogram(net, held)
+    assert sum(n for k, _, n in counts if k < 2) == held.count() and sum(n for k, _, n in counts if k > 1) == held.filter("y = 1").count()
+    taught = []
+    learn = secrets.learn
+    monkeypatch.setattr(secrets, "learn", lambda net, found, n: taught.append((n, found.count())) or learn(net, found, n))
+    own = secrets.train(table)
+    assert taught == [(840 - held.count(),) * 2]
+    assert any((a != b).any() for a, b in zip(own.parameters(), net.parameters()))
+    assert all((a == b).all() for a, b in zip(own.parameters(), secrets.train(table).parameters()))  # the same on every call
+    longer = "see token=" + "A1b2" * 3000  # more windows than one, each learned from, the highest counts
+    assert sum(n for k, _, n in secrets.histogram(net, secrets.document_findings(spark.createDataFrame([(1, longer)], table.schema))) if k < 2) == len(secrets.parts(0, 12_000))
+
+
 def test_decontaminate_spans(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa"
     d = spark.createDataFrame([(1, f"X. {item.upper()}! y"), (2, "alpha beta gamma delta epsilon zeta eta"), (3, None), (4, "q Short ITEM z. " + item)], "doc_id long, text string")
