@@ -333,6 +333,33 @@ def test_lm_beats_the_base_on_held_out_texts():
     assert score.sum() / size.sum() > base / size.sum() + 0.1
 
 
+def test_lm_learns_from_every_text_and_word(spark, docs, monkeypatch):
+    training = docs.filter("doc_id % 3 != 0")
+    count = Counter(w for r in training.collect() for w in r["text"].lower().split())
+    some = spark.createDataFrame([(w.encode(), n) for w, n in count.items()], "w binary, c long")
+    net_of, seen = [], []
+    monkeypatch.setattr(lm, "EPOCHS", 1)
+    monkeypatch.setattr(lm, "learn", lambda w, net, steps, n, rows, bucket, of: (net_of.append(net), seen.append((rows.withColumn("bucket", bucket), w))))
+    lm.train(tokens.vocabulary_path(), training, some, sum(count.values()), len(count))
+    (texts, model_words), (words_, _) = seen
+    assert sorted(r["text"] for r in texts.collect()) == sorted(r["text"] for r in training.collect())
+    weights = Counter()
+    for r in words_.collect():
+        weights[bytes(r["w"]).decode()] += r["c"]
+    assert weights.keys() == count.keys() and all(weights[w] == pytest.approx(count[w]) for w in count)
+    assert texts.union(words_.selectExpr("k", "string(w)", "bucket")).filter(f"bucket between 0 and {lm.BUCKETS - 1}").count() == texts.count() + words_.count()
+    assert (model_words.counts == lm.Words(tokens.vocabulary_path(), lm.id_counts(tokens.vocabulary_path(), list(count.items()))).counts).all()
+    for steps in (0.1, 50, 1000, 1e6):  # each bucket in the first pass once
+        ranges = lm.schedule(steps, 10)
+        assert [b for a, b in ranges for b in range(a, b)] == list(range(lm.BUCKETS)) * (len([b for _, b in ranges if b == lm.BUCKETS]))
+    # a task goes over each position once
+    net = net_of[0]
+    taken = []
+    monkeypatch.setattr(net, "step", lambda past, target, weight, rate: taken.extend(past[0].tolist()))
+    net.sweep(np.arange(3000).reshape(3, 1000), np.zeros(1000, int), np.ones(1000), np.random.default_rng(0), 64, 0.1)
+    assert sorted(taken) == list(range(1000))
+
+
 def test_lm_keeps_words_in_one_cache():
     path, _, head, model = small_model()
     scorer = lm.Scorer(model, dict(head), 100, 10, 3)
