@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgrisk.llm.common import materialise, shared_path, slices
+from msgrisk.llm.common import batch_rows, materialise, shared_path, slices
 from msgrisk.llm.tokens import codec, vocabulary_path
 
 LENGTH = 256
@@ -37,7 +37,8 @@ ROUNDS = 6
 END_ID = 0
 FILL = 0xFFFF  # not an id: a larger vocabulary is refused
 LEVEL = 5
-SLICE = 2048  # documents encoded together
+SLICE, SLICE_BYTES = 2048, 2 << 20  # documents encoded together, at most
+BATCH_ROWS = 1024  # documents that Spark hands to a worker at once
 
 INDEX = "doc_id long, piece int, slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long"
 
@@ -69,40 +70,45 @@ def stride(length: int) -> int:
     return 2 * length + 1
 
 
+def encode_pieces(batches, task: int, length: int, path: str):
+    """Batches of the rows that ``tokenise`` gives, from batches of (doc_id, text)."""
+    pos = 0
+    for b in batches:
+        for part in slices(b, SLICE, SLICE_BYTES):
+            ids, bounds = codec(path).encode_flat(part.column(1).to_pylist())
+            # the end id after each document
+            wide = np.full(len(ids) + part.num_rows, END_ID, "<u4")
+            own = np.ones(len(wide), bool)
+            own[bounds[1:] + np.arange(part.num_rows)] = False
+            wide[own] = ids
+            size = np.diff(bounds) + 1
+            pieces = -(-size // length)
+            doc = np.repeat(np.arange(part.num_rows), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin = (np.cumsum(size) - size)[doc] + piece * length
+            n = np.minimum(length, size[doc] - piece * length)
+            raw, edges = wide.tobytes(), (4 * begin).tolist()
+            crc = [zlib.crc32(raw[a : a + 4 * k]) for a, k in zip(edges, n.tolist())]
+            offsets = np.append(2 * begin, 2 * len(wide)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(doc), task, np.int32)), pa.array(pos + np.arange(len(doc))), part.column(0).take(pa.array(doc)),
+                    pa.array(piece.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(crc, pa.int64()),
+                    pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(wide.astype("<u2"))]),
+                ],
+                names=["task", "pos", "doc_id", "piece", "n", "crc", "ids"],
+            )
+            pos += len(doc)
+        pa.default_memory_pool().release_unused()
+
+
 def tokenise(docs: DataFrame, length: int, path: str) -> DataFrame:
     """Rows (task, pos, doc_id, piece, n, crc, ids); task and pos number the sequences of each output file."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, pos = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for part in slices(b, SLICE):
-                ids, bounds = codec(path).encode_flat(part.column(1).to_pylist())
-                # the end id after each document
-                wide = np.full(len(ids) + part.num_rows, END_ID, "<u4")
-                own = np.ones(len(wide), bool)
-                own[bounds[1:] + np.arange(part.num_rows)] = False
-                wide[own] = ids
-                size = np.diff(bounds) + 1
-                pieces = -(-size // length)
-                doc = np.repeat(np.arange(part.num_rows), pieces)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                begin = (np.cumsum(size) - size)[doc] + piece * length
-                n = np.minimum(length, size[doc] - piece * length)
-                raw, edges = wide.tobytes(), (4 * begin).tolist()
-                crc = [zlib.crc32(raw[a : a + 4 * k]) for a, k in zip(edges, n.tolist())]
-                offsets = np.append(2 * begin, 2 * len(wide)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(doc), task, np.int32)), pa.array(pos + np.arange(len(doc))), part.column(0).take(pa.array(doc)),
-                        pa.array(piece.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(crc, pa.int64()),
-                        pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(wide.astype("<u2"))]),
-                    ],
-                    names=["task", "pos", "doc_id", "piece", "n", "crc", "ids"],
-                )
-                pos += len(doc)
-            pa.default_memory_pool().release_unused()
+        return encode_pieces(batches, TaskContext.get().partitionId(), length, path)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "task int, pos long, doc_id long, piece int, n int, crc long, ids binary")
 
@@ -114,7 +120,8 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
     spark, tokenizer_path = docs.sparkSession, tokenizer_path or vocabulary_path()
     if codec(tokenizer_path).tokenizer.get_vocab_size() > FILL:
         raise ValueError(f"ids of 16 bits cannot hold a vocabulary of more than {FILL}")
-    seqs = materialise(tokenise(docs, length, tokenizer_path), "sequences", **{"parquet.enable.dictionary": "false"})
+    with batch_rows(spark, BATCH_ROWS):
+        seqs = materialise(tokenise(docs, length, tokenizer_path), "sequences", **{"parquet.enable.dictionary": "false"})
     # one row per file of the table above: its first sequence number
     sizes = sorted((r["task"], r["n"]) for r in seqs.groupBy("task").agg(F.count("*").alias("n")).collect())
     first, n = {}, 0

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -10,12 +11,13 @@ from itertools import product
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from msgrisk.llm import chat, decontaminate, graph, langid, lm, packing, quality, secrets, shards, simhash, tokens, toxicity
+from msgrisk.llm import chat, common, decontaminate, graph, langid, lm, packing, quality, secrets, shards, simhash, tokens, toxicity
 from msgrisk.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -418,6 +420,27 @@ def test_shards_round_trip(spark, docs, tmp_path):
     assert sorted(shards.permute(np.arange(1000), 1000).tolist()) == list(range(1000))
 
 
+def test_shards_encode_in_bounded_memory(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 500, 1200)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["doc_id", "text"])
+    enc = tokens.codec(tokens.vocabulary_path())
+    enc.encode(texts[:50])  # the cache is not what is measured
+    tracemalloc.start()
+    try:
+        n = sum(sum(out.column(4).to_pylist()) for out in shards.encode_pieces([batch], 0, 256, tokens.vocabulary_path()))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == sum(len(e.ids) + 1 for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False))
+    assert peak < 80e6, peak
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with common.batch_rows(spark, 100):
+        sizes = spark.range(0, 1050, 1, 1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long").collect()
+    assert max(r["n"] for r in sizes) == 100 and sum(r["n"] for r in sizes) == 1050 and spark.conf.get(key) == before
+
+
 def test_packing(spark, docs):
     out = packing.pack(docs, capacity=256).collect()
     enc = tokens.codec(tokens.vocabulary_path())
