@@ -369,6 +369,39 @@ def test_lm_keeps_words_in_one_cache():
     assert len(scorer.cache) == 7 and not tokens.codec(path).cache and not tokens.codec(path).older
 
 
+def test_lm_computes_a_repeated_window_once(monkeypatch):
+    _, _, _, model = small_model()
+    net, rng = model.nets[1], np.random.default_rng(2)
+    past, target = rng.integers(0, 3, (lm.WORD_WINDOW, 6000)), rng.integers(0, lm.SLOTS, 6000)
+    want = np.concatenate([net.log_probability(past[:, [i]], target[[i]]) for i in range(0, 6000, 20)])
+    widths, hidden = [], lm.Attention.hidden
+    monkeypatch.setattr(lm.Attention, "hidden", lambda self, past: widths.append(past.shape[1]) or hidden(self, past))
+    assert net.log_probability(past, target)[::20] == pytest.approx(want, abs=1e-4)
+    assert sum(widths) == len(set(map(tuple, past.T))) == 3**lm.WORD_WINDOW
+    wide = rng.integers(0, lm.SLOTS, (9, 50))[:, rng.integers(0, 50, 500)]  # more slots than 64 bits hold
+    first, which = lm.distinct(wide)
+    assert (wide[:, first][:, which] == wide).all() and len(first) == len(set(map(tuple, wide.T)))
+
+
+def test_lm_keeps_words_that_are_met_again(monkeypatch):
+    monkeypatch.setattr(lm, "CACHE_WORDS", 20)
+    cache, learned = lm.WordCache(b""), Counter()
+    for k in range(40):
+        vocab = ["", "often", *(f"w{k}-{i}" for i in range(4))]
+        assert cache.of(vocab, lambda new: learned.update(new) or [w.encode() for w in new]) == [w.encode() for w in vocab]
+        assert len(cache) < 20 + 2 * len(vocab)
+    assert set(learned.values()) == {1} and len(learned) == 161
+
+
+def test_lm_ids_are_those_of_the_tokenizer():
+    path, _, _, model = small_model()
+    ws = ["", "river", "river.", "river,", "river.,", ".", ",", "überall.", "straße", "×", "÷a", "don't", "a1.", "日本", "œuvre", "ÿes,", "ſ", "xyzzyq", "e\u0301", "<|endoftext|>", "\U0001f600."]
+    ids, size = model.words.ids(ws)
+    want = [tokens.codec(path).tokenizer.encode(w, add_special_tokens=False).ids for w in ws]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want
+    assert [len(x) for x in model.words.ids([])] == [0, 0]
+
+
 def test_language_and_toxicity_held_out(spark):
     big = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{big}/documents.parquet").collect()}
