@@ -263,3 +263,31 @@ def test_streaming_signals(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("flagged").first()["flagged"] == 1
+
+
+def test_messages_are_dealt_by_number(spark, monkeypatch):
+    from msgrisk.plans import messages as M
+
+    want = sorted(M.messages(spark, SF).collect())
+    monkeypatch.setattr(M, "TASK_ROWS", 100)
+    df = M.messages(spark, SF)
+    assert df.rdd.getNumPartitions() == len(want) // 100 + 1 and sorted(df.collect()) == want
+
+
+def test_terms_evaluate_their_text_once(spark):
+    df = spark.createDataFrame([("ab c de",)], "t string")
+    plan = lambda c: df.select(c)._jdf.queryExecution().analyzed().toString()
+    assert plan(vectorize.word_ngrams(F.lower("t"))).count("regexp_extract_all(") == 1
+    assert plan(vectorize.char_ngrams(F.lower("t"))).count("concat(") == 1
+
+
+def test_featurised_rows_score_alike_dense_or_sparse(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from msgrisk.operators.train import Linear
+
+    model = Linear(["a", "b"], np.array([[1.0, 0.0, -2.0], [0.5, 3.0, 0.0]]), np.array([0.0, 0.1]), "softmax")
+    rows = [(0, Vectors.dense([0.0, 1.0, 2.0])), (1, Vectors.sparse(3, [1, 2], [1.0, 2.0])), (2, Vectors.sparse(3, [], []))]
+    got = model.scored(spark.createDataFrame(rows, ["i", "features"])).orderBy("i").collect()
+    assert got[0]["probability"] == got[1]["probability"] and [r["prediction"] for r in got] == ["b", "b", "b"]
