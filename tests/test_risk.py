@@ -276,7 +276,7 @@ def test_messages_are_dealt_by_number(spark, monkeypatch):
 
 def test_terms_evaluate_their_text_once(spark):
     df = spark.createDataFrame([("ab c de",)], "t string")
-    plan = lambda c: df.select(c)._jdf.queryExecution().analyzed().toString()
+    plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
     assert plan(vectorize.word_ngrams(F.lower("t"))).count("regexp_extract_all(") == 1
     assert plan(vectorize.char_ngrams(F.lower("t"))).count("concat(") == 1
 
@@ -291,3 +291,9 @@ def test_featurised_rows_score_alike_dense_or_sparse(spark):
     rows = [(0, Vectors.dense([0.0, 1.0, 2.0])), (1, Vectors.sparse(3, [1, 2], [1.0, 2.0])), (2, Vectors.sparse(3, [], []))]
     got = model.scored(spark.createDataFrame(rows, ["i", "features"])).orderBy("i").collect()
     assert got[0]["probability"] == got[1]["probability"] and [r["prediction"] for r in got] == ["b", "b", "b"]
+
+
+def test_words_are_runs_of_word_characters(spark):
+    text = "".join(f"x{chr(c)}y {chr(c)}{chr(c)} " for c in range(1, 0x3100)) + "a\U0001d7d8b \U00010400\U00010401"
+    df = spark.createDataFrame([(text,)], "t string").select(vectorize.words(F.col("t")).alias("w"), F.regexp_extract_all("t", F.lit(r"(?U)\b\w\w+\b"), F.lit(0)).alias("v"))
+    assert "transform(" in str(vectorize.word_ngrams(F.col("t"))) and df.filter("w = v and size(w) > 10000").count() == 1
