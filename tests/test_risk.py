@@ -297,3 +297,14 @@ def test_words_are_runs_of_word_characters(spark):
     text = "".join(f"x{chr(c)}y {chr(c)}{chr(c)} " for c in range(1, 0x3100)) + "a\U0001d7d8b \U00010400\U00010401"
     df = spark.createDataFrame([(text,)], "t string").select(vectorize.words(F.col("t")).alias("w"), F.regexp_extract_all("t", F.lit(r"(?U)\b\w\w+\b"), F.lit(0)).alias("v"))
     assert "transform(" in str(vectorize.word_ngrams(F.col("t"))) and df.filter("w = v and size(w) > 10000").count() == 1
+
+
+def test_texts_that_no_step_folds_skip_the_steps(spark):
+    assert not any(c.isascii() for c in C.CONFUSABLE_FROM)
+    texts = ["plain 45.00", "hxxp://a", "h**p : // b", "a[.]b", "a ( . ) b", "a{.}b", "polka\tD0T\ndress", "a[:]b", "a(:)b", "a[/]b", "раss", "a​b", "dot", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    steps = F.translate(F.regexp_replace("t", C.INVISIBLE, ""), C.CONFUSABLE_FROM, C.CONFUSABLE_TO)
+    for pattern, to in C.DEFANGED:
+        steps = F.regexp_replace(steps, pattern, to)
+    assert all(r["a"] == r["b"] for r in df.select(C.fold(F.col("t")).alias("a"), steps.alias("b")).collect())
+    assert [r["f"] for r in df.select(F.col("t").rlike(C.FOLDABLE).alias("f")).collect()] == [False, *[True] * 11, False, False, None]
